@@ -1,5 +1,23 @@
 """SQL that gives the rows of the registered queries, where SQL can express them."""
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP4 = f"""
+with d as (select row_number() over () as doc, doc_id, {_ITEM_WORDS} as w from documents),
+i as (select cast(item_id as varchar) as item_id, {_ITEM_WORDS} as w from benchmark),
+iw as (select item_id, w, least(len(w), 13) as n, unnest(range(0, greatest(len(w) - 13, 0) + 1)) as s from i where len(w) > 0),
+windows as (select distinct item_id, n, array_to_string(w[s + 1 : s + n], ' ') as phrase from iw),
+lengths as (select distinct n from windows),
+dw as (select doc, w, n, unnest(range(0, len(w) - n + 1)) as s from d, lengths where len(w) >= n),
+met as (select doc, s, x.n, item_id from (select doc, s, n, array_to_string(w[s + 1 : s + n], ' ') as phrase from dw) x join windows using (n, phrase)),
+hit as (select doc, count(distinct pos) as n_hit from (select doc, unnest(range(s, s + n)) as pos from met) group by doc),
+ids as (select doc, list_sort(list(distinct item_id)) as item_ids from met where item_id is not null group by doc)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(len(item_ids), 0) as bigint) as n_items,
+       sha256(coalesce(array_to_string(item_ids, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hit using (doc) left join ids using (doc)
+"""
+
 OP5 = r"""
 with sizes as (
   select doc_id, source as src, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
@@ -38,4 +56,4 @@ from timed group by src, place
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": OP5}
+    return {"op4_decontamination": OP4, "op5_mixing": OP5}
