@@ -54,6 +54,22 @@ select any_value(doc_id) as doc_id, any_value(size) as size, any_value(source_si
 from timed group by src, place
 """
 
+OP10 = f"""
+with recursive d as (
+  select row_number() over () as doc, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (
+  select doc, doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k : k + 2], ' '))) end as g from d),
+t as (select doc, len(g) as n, unnest(g) as token from s),
+pairs as (
+  select a.doc as x, b.doc as y from t a join t b on a.token = b.token and a.doc < b.doc
+  group by a.doc, b.doc, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+edges as (select x, y from pairs union select y, x from pairs),
+reach as (select doc as x, doc as y from d union select r.x, e.y from reach r join edges e on r.y = e.x),
+low as (select x, min(doc_id) as component_id from reach join d on d.doc = reach.y group by x)
+select doc_id, cast(len(g) as bigint) as n_shingles, component_id from s join low on low.x = s.doc
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4, "op5_mixing": OP5}
+    return {"op4_decontamination": OP4, "op5_mixing": OP5, "op10_ngram_join": OP10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import decontam, mixing, quality, secrets, sharding
+from latticework.llm import decontam, mixing, ngram_join, quality, secrets, sharding
 from latticework.llm.common import table
 
 
@@ -34,5 +34,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op4_decontamination": op4_decontamination, "op5_mixing": op5_mixing, "op8_quality": op8_quality, "op9_sharding": op9_sharding}
+    return {"op1_secrets": op1_secrets, "op4_decontamination": op4_decontamination, "op5_mixing": op5_mixing, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_ngram_join": op10_ngram_join}
