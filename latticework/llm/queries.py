@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import decontam, mixing, ngram_join, quality, secrets, sharding
+from latticework.llm import decontam, mixing, ngram_join, quality, secrets, sharding, token_counts, token_files
 from latticework.llm.common import table
 
+#: The tokenizer of the registered queries.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.lengths(table(spark, sf_dir, "documents"), TOKENIZER)
+    return token_counts.with_sums(token_counts.histogram(counted))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
@@ -24,6 +33,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.assess(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -39,4 +52,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op4_decontamination": op4_decontamination, "op5_mixing": op5_mixing, "op8_quality": op8_quality, "op9_sharding": op9_sharding, "op10_ngram_join": op10_ngram_join}
+    ops = (op1_secrets, op3_token_counts, op4_decontamination, op5_mixing, op7_token_files, op8_quality, op9_sharding, op10_ngram_join)
+    return {f.__name__: f for f in ops}
