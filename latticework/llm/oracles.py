@@ -70,6 +70,16 @@ low as (select x, min(doc_id) as component_id from reach join d on d.doc = reach
 select doc_id, cast(len(g) as bigint) as n_shingles, component_id from s join low on low.x = s.doc
 """
 
+OP6 = """
+with p as (select page_id, coalesce(html, '') as html, row_number() over (order by page_id) as r from pages),
+h as (select page_id, r, html, sha1(html) as hex, row_number() over (partition by html order by page_id, r) as place, min(page_id) over (partition by html) as first from p)
+select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((cast(('0x' || substr(hex, 1 + 5 * (k // 4), 5)) as integer) >> (5 * (3 - k % 4))) & 31), 1)), '') as payload_digest,
+       case when place = 1 then 'response' else 'revisit' end as record_type, case when place > 1 then first end as refers_to
+from h
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4, "op5_mixing": OP5, "op10_ngram_join": OP10}
+    return {"op4_decontamination": OP4, "op5_mixing": OP5, "op6_warc": OP6, "op10_ngram_join": OP10}

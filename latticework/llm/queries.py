@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import decontam, mixing, ngram_join, quality, secrets, sharding, token_counts, token_files
+from latticework.llm import decontam, mixing, ngram_join, quality, secrets, sharding, token_counts, token_files, warc
 from latticework.llm.common import table
 
 #: The tokenizer of the registered queries.
@@ -33,6 +33,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -52,5 +56,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_secrets, op3_token_counts, op4_decontamination, op5_mixing, op7_token_files, op8_quality, op9_sharding, op10_ngram_join)
+    ops = (op1_secrets, op3_token_counts, op4_decontamination, op5_mixing, op6_warc, op7_token_files, op8_quality, op9_sharding, op10_ngram_join)
     return {f.__name__: f for f in ops}
