@@ -1,8 +1,40 @@
 """SQL that gives the rows of the registered queries, where SQL can express them."""
 
+from latticework.llm.licenses import RULES, SENTENCES
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_KNOWN = ", ".join(_quoted(s) for s in SENTENCES.values())
+_NAMES = "map {" + ", ".join(f"{_quoted(s)}: {_quoted(name)}" for name, s in SENTENCES.items()) + "}"
+_MATCHES = ", ".join(f"case when contains(a, {_quoted(' ' + ' '.join(ids) + ' ')}) or contains(b, {_quoted(' ' + ' '.join(ids) + ' ')}) then {_quoted(name)} end" for name, ids in RULES)
+
+
+def _ids(parts: str) -> str:
+    return f"list_transform(list_filter(list_transform({parts}, lambda s: trim(s)), lambda s: s in ({_KNOWN})), lambda s: {_NAMES}[s])"
+
+
+OP2 = f"""
+with t as (
+  select doc_id, regexp_replace(regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.!?;:]+([\\x20\\x09-\\x0D]|\\z)', chr(1) || '\\1', 'g'),
+    '[^a-z0-9\\x01\\x0A]+', ' ', 'g') as clean from documents),
+i as (
+  select doc_id, {_ids("string_split_regex(clean, '[\\x20\\x01\\x0A]*[\\x01\\x0A][\\x20\\x01\\x0A]*')")} as line_ids,
+    {_ids("string_split_regex(regexp_replace(clean, '[\\x20\\x0A]+', ' ', 'g'), '[\\x20\\x01]*\\x01[\\x20\\x01]*')")} as text_ids from t),
+s as (select *, ' ' || array_to_string(line_ids, ' ') || ' ' as a, ' ' || array_to_string(text_ids, ' ') || ' ' as b from i),
+m as (select *, list_filter([{_MATCHES}], lambda x: x is not null) as found from s),
+n as (select *, list_filter(found, lambda x, k: list_position(found, x) = k) as licenses from m)
+select doc_id, cast(len(list_distinct(list_concat(line_ids, text_ids))) as bigint) as n_known, array_to_string(line_ids, ',') as sentence_ids,
+       array_to_string(licenses, ',') as licenses, licenses[1] as license
+from n
+"""
+
 OP4 = f"""
 with d as (select row_number() over () as doc, doc_id, {_ITEM_WORDS} as w from documents),
 i as (select cast(item_id as varchar) as item_id, {_ITEM_WORDS} as w from benchmark),
@@ -82,4 +114,4 @@ from h
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4, "op5_mixing": OP5, "op6_warc": OP6, "op10_ngram_join": OP10}
+    return {"op2_licenses": OP2, "op4_decontamination": OP4, "op5_mixing": OP5, "op6_warc": OP6, "op10_ngram_join": OP10}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import decontam, mixing, ngram_join, quality, secrets, sharding, token_counts, token_files, warc
+from latticework.llm import decontam, licenses, mixing, ngram_join, quality, secrets, sharding, token_counts, token_files, warc
 from latticework.llm.common import table
 
 #: The tokenizer of the registered queries.
@@ -19,6 +19,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.lengths(table(spark, sf_dir, "documents"), TOKENIZER)
     return token_counts.with_sums(token_counts.histogram(counted))
@@ -56,5 +60,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_secrets, op3_token_counts, op4_decontamination, op5_mixing, op6_warc, op7_token_files, op8_quality, op9_sharding, op10_ngram_join)
+    ops = (op1_secrets, op2_licenses, op3_token_counts, op4_decontamination, op5_mixing, op6_warc, op7_token_files, op8_quality, op9_sharding, op10_ngram_join)
     return {f.__name__: f for f in ops}
