@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from latticework.llm.common import stored
-from latticework.llm.encoding import encoder
+from latticework.llm.encoding import BATCH, encoder, texts_of
 
 #: Lengths in a span of the histogram.
 SPAN = 1024
@@ -31,10 +31,10 @@ def lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                counts = code.lengths([t or "" for t in batch.column(2).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["doc_id", "source", "n_tokens"])
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                counts = pa.array(code.lengths(texts_of(batch, 2)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts], names=["doc_id", "source", "n_tokens"])
 
     return docs.select("doc_id", "source", "text").mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from latticework.llm.common import new_dir, stored
-from latticework.llm.encoding import encoder
+from latticework.llm.encoding import BATCH, encoder, texts_of
 from latticework.llm.files import attempt_name, made_folder, opened, read_range, write_all
 
 MAGIC = b"LWTOKENS"
@@ -43,10 +43,6 @@ def _id_type(width: int) -> np.dtype:
     return np.dtype("<u2" if width == 2 else "<u4")
 
 
-def _texts(batch: pa.RecordBatch, k: int) -> list[str]:
-    return [t or "" for t in batch.column(k).to_pylist()]
-
-
 def train(docs: DataFrame, tokenizer: str) -> bytes:
     """A dictionary from a bounded sample of documents; empty if zstandard finds too little to train on. One task does it."""
 
@@ -54,14 +50,15 @@ def train(docs: DataFrame, tokenizer: str) -> bytes:
         samples, code = [], encoder(tokenizer)
         kind = _id_type(_width(code))
         for batch in batches:
-            samples += [ids.astype(kind).tobytes() for ids in code.encode(_texts(batch, 0))]
+            samples += [ids.astype(kind).tobytes() for ids in code.encode(texts_of(batch, 0))]
         try:
             data = zstandard.train_dictionary(DICTIONARY_BYTES, [s for s in samples if s], level=LEVEL).as_bytes() if len(samples) > 7 else b""
         except zstandard.ZstdError:
             data = b""
         yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["dictionary"])
 
-    sample = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).where("text is not null").orderBy("h", "text").limit(DICTIONARY_DOCS).select("text")
+    chosen = docs.where("text is not null").select(F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(DICTIONARY_DOCS)
+    sample = docs.select("text", F.xxhash64("doc_id").alias("d")).join(F.broadcast(chosen), F.col("d") == F.col("h"), "left_semi").orderBy("d", "text").limit(DICTIONARY_DOCS).select("text")
     found = sample.coalesce(1).mapInArrow(run, "dictionary binary").agg(F.max("dictionary")).first()[0]
     return bytes(found or b"")
 
@@ -84,19 +81,21 @@ def write(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
         width = _width(code)
         kind, end = _id_type(width), np.array([END_ID], np.uint32)
         shared = zstandard.ZstdCompressionDict(data) if data else None
+        if shared:
+            shared.precompute_compress(level=LEVEL)  # else it would be taken in again for each document
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         out = path = None
         ids, offsets, sizes, tokens, at = [], [], [], [], 0
         for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                batch = whole.slice(k, 2000)
+            for k in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(k, BATCH)
                 if out is None:
                     path = attempt_name(folder, number, "tok")
                     system, where = opened(path)
                     out = system.open_output_stream(where, compression=None)
                     out.write(MAGIC + digest + bytes([width]))
                     at = len(MAGIC) + 33
-                for found in code.encode(_texts(batch, 1)):
+                for found in code.encode(texts_of(batch, 1)):
                     frame = pack.compress(np.concatenate([found, end]).astype(kind).tobytes())
                     out.write(frame)
                     offsets.append(at)
@@ -147,13 +146,21 @@ class TokenFile:
             shared = zstandard.ZstdCompressionDict(data)
         self.unpack = zstandard.ZstdDecompressor(dict_data=shared)
 
+        self.offsets, self.sizes = (self.index[c].to_numpy() for c in ("offset", "size"))
+
     def __len__(self) -> int:
         return self.index.num_rows
 
     def ids(self, k: int) -> np.ndarray:
         """The ids of the k-th document, the end id included: one range read."""
-        frame = self.stream.read_at(self.index["size"][k].as_py(), self.index["offset"][k].as_py())
-        return np.frombuffer(self.unpack.decompress(frame), self.kind).astype("<u4")
+        return self.span(k, k + 1)[0]
+
+    def span(self, start: int, stop: int) -> list[np.ndarray]:
+        """The ids of the documents from start to stop: one range read."""
+        low = int(self.offsets[start])
+        data = memoryview(self.stream.read_at(int(self.offsets[stop - 1] + self.sizes[stop - 1]) - low, low))
+        frames = (data[a : a + n] for a, n in zip((self.offsets[start:stop] - low).tolist(), self.sizes[start:stop].tolist(), strict=True))
+        return [np.frombuffer(self.unpack.decompress(f), self.kind).astype("<u4") for f in frames]
 
     def close(self) -> None:
         self.stream.close()
@@ -162,23 +169,24 @@ class TokenFile:
 def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids of every document in the files."""
     before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    placed = manifest.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    placed = manifest.select("file", "number", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
     fields = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 file = TokenFile(path)
-                for at in range(0, len(file), 2000):
-                    stop = min(at + 2000, len(file))
-                    found = [file.ids(k) for k in range(at, stop)]
+                for at in range(0, len(file), 500):
+                    stop = min(at + 500, len(file))
+                    found = file.span(at, stop)
                     counts = np.array([len(x) for x in found], np.int64)
                     columns = [file.index["doc_id"][at:stop].combine_chunks(), pa.array(base + np.cumsum(counts) - counts), pa.array(counts), pa.array([zlib.crc32(x.tobytes()) for x in found], pa.int64())]
                     base += int(counts.sum())
                     yield pa.RecordBatch.from_arrays(columns + [pa.array([x.tolist() for x in found], pa.list_(pa.int64()))] * with_ids, names=fields.replace(",", "").split()[::2][: 4 + with_ids])
                 file.close()
 
-    return placed.repartition("file").mapInArrow(run, fields)
+    files = max(1, manifest.count())  # a task for each; Spark would join so small rows into one
+    return placed.repartitionByRange(files, "number").select("file", "base").mapInArrow(run, fields)
 
 
 def fetch(manifest: DataFrame, doc_ids: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -18,7 +19,7 @@ def plain(text):
     return PLAIN.encode(text or "", add_special_tokens=False).ids
 
 
-parts = st.lists(st.sampled_from([" ", " ", " ", "\n", "\t", "a", "The", "é", "'s", "'", ".", ",", "12", " ", " ", "\x1c", "\x85", "😀", "<|endoftext|>", "\r\n", "ß", "_", "​"]), max_size=25)
+parts = st.lists(st.sampled_from([" ", " ", " ", "\n", "\t", "a", "The", "é", "'s", "'", ".", ",", "12", " ", " ", "\x1c", "\x85", "😀", "<|endoftext|>", "\r\n", "ß", "_", "​", "\x00", "\u2028", "\u3000"]), max_size=25)
 
 
 @settings(max_examples=500, deadline=None)
@@ -26,8 +27,8 @@ parts = st.lists(st.sampled_from([" ", " ", " ", "\n", "\t", "a", "The", "é", "
 def test_units_encode_like_the_whole_text(p):
     text = "".join(p)
     code = encoding.encoder(PATH)
-    assert code.encode([text])[0].tolist() == plain(text)
-    assert code.lengths([text]) == [len(plain(text))]
+    assert code.encode(pa.array([text]))[0].tolist() == plain(text)
+    assert code.lengths(pa.array([text])).tolist() == [len(plain(text))]
 
 
 def test_forgetting(monkeypatch):
@@ -35,7 +36,7 @@ def test_forgetting(monkeypatch):
     code = encoding.Encoder(PATH)
     for k in range(30):
         texts = [f"the {k} and word{k % 7} of\nthe {j}" for j in range(5)]
-        assert [x.tolist() for x in code.encode(texts)] == [plain(t) for t in texts]
+        assert [x.tolist() for x in code.encode(pa.array(texts))] == [plain(t) for t in texts]
 
 
 ROWS = [(5, "five words of text are here"), (None, "null id"), (2, None), (3, ""), (5, "five words of text are here"), (5, "another five"), (9, "<|endoftext|> a  b\n\n c"), (7, "long " * 60000)]
