@@ -39,17 +39,21 @@ def ws_norm(path: Column) -> Column:
     return F.when(bare == "", "/").otherwise(bare)
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value worked out once however often then names it."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
+
+
 def port_number(text: Column) -> Column:
     """A port from 0 to 65535, null for all else."""
-    n = F.when(text.rlike(r"^\+?[0-9]+$"), F.try_to_number(F.substring(F.regexp_replace(text, r"^\+?0*(?=[0-9])", ""), 1, 6), F.lit("999999")))
-    return F.when((F.length(F.regexp_replace(text, r"^\+?0*(?=[0-9])", "")) <= 5) & (n <= 65535), n.cast("int"))
+    n = F.regexp_extract(text, r"^\+?0*([0-9]{1,5})$", 1).try_cast("int")
+    return F.when(n <= 65535, n)
 
 
-def _host_port(text: Column) -> tuple[Column, Column]:
-    """The host, and the port after its last colon if that is one; else all is host."""
-    tail = F.regexp_extract(text, r"(?s)^.*:(.*)$", 1)
-    port = F.when(F.instr(text, ":") > 0, port_number(tail))
-    return F.when(port.isNotNull(), F.regexp_extract(text, r"(?s)^(.*):", 1)).otherwise(text), port
+def _host_port(text: Column, then) -> Column:
+    """then(host, port): the port after the last colon if that is one; else all is host."""
+    port = F.when(F.instr(text, ":") > 0, port_number(F.substring_index(text, ":", -1)))
+    return let(F.struct(text.alias("text"), port.alias("port")), lambda s: then(F.when(s["port"].isNotNull(), F.regexp_replace(s["text"], ":[^:]*$", "")).otherwise(s["text"]), s["port"]))
 
 
 def without_env_suffix(name: Column) -> Column:
@@ -61,30 +65,31 @@ def k8s_dns(url: Column) -> Column:
 
     Cluster names have the label ``svc`` as the third or later one. The service is the first label without an environment suffix.
     """
-    bare = F.trim(url)
-    marks = F.split(bare, "://")
-    after = F.when(F.size(marks) > 1, F.get(marks, F.lit(1))).otherwise(bare)
-    slash = F.instr(after, "/")
-    authority = F.when(slash > 0, F.substring_index(after, "/", 1)).otherwise(after)
-    path = F.when(slash > 0, F.regexp_extract(after, r"(?s)^[^/]*(/.*)$", 1)).otherwise("/")
-    host, port = _host_port(authority)
-    labels = F.split(host, r"\.")
-    found = F.array_position(labels, F.lit("svc"))
-    parts = F.struct(
-        without_env_suffix(F.get(labels, F.lit(0))).alias("service"), F.get(labels, F.lit(1)).alias("namespace"), host.alias("host"), port.alias("port"), path.alias("path")
-    )
-    return F.when(found >= 3, parts)
+    after = F.regexp_extract(F.trim(url), r"(?s)^(?:.*?://)?(.*?)(?:://.*)?$", 1)
+
+    def parts(after: Column) -> Column:
+        path = F.when(F.instr(after, "/") > 0, F.regexp_extract(after, r"(?s)^[^/]*(/.*)$", 1)).otherwise("/")
+        return _host_port(F.substring_index(after, "/", 1), lambda host, port: let(F.struct(host.alias("host"), F.split(host, r"\.").alias("labels"), port.alias("port"), path.alias("path")), cluster))
+
+    def cluster(s: Column) -> Column:
+        found = F.struct(without_env_suffix(F.get(s["labels"], F.lit(0))).alias("service"), F.get(s["labels"], F.lit(1)).alias("namespace"), s["host"], s["port"], s["path"])
+        return F.when(F.array_position(s["labels"], F.lit("svc")) >= 3, found)
+
+    return let(after, parts)
 
 
 def service_value(value: Column) -> Column:
     """(service, port) that a configured value points to, null if it can be no service."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(value), r'^"+|"+$', ""), r"^'+|'+$", "")
-    after = F.when(F.instr(bare, "://") > 0, F.regexp_replace(bare, r"(?s)^.*?://", "")).otherwise(bare)
-    authority = F.substring_index(after, "/", 1)
-    host, port = _host_port(authority)
-    name = F.when(F.instr(authority, ".") > 0, F.substring_index(authority, ".", 1)).otherwise(F.substring_index(host, ":", 1))
-    wrong = (bare == "") | (name == "") | (F.instr(name, " ") > 0) | name.startswith("{{") | port_number(name).isNotNull()
-    return F.when(~wrong, F.struct(name.alias("service"), port.alias("port")))
+
+    def named(authority: Column) -> Column:
+        return _host_port(authority, lambda host, port: let(F.struct(F.when(F.instr(authority, ".") > 0, F.substring_index(authority, ".", 1)).otherwise(F.substring_index(host, ":", 1)).alias("service"), port.alias("port")), checked))
+
+    def checked(s: Column) -> Column:
+        name = s["service"]
+        return F.when(~((name == "") | (F.instr(name, " ") > 0) | name.startswith("{{") | port_number(name).isNotNull()), s)
+
+    return let(F.regexp_extract(bare, r"(?s)^(?:.*?://)?([^/]*)", 1), named)
 
 
 def image_path(ref: Column) -> Column:
