@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from latticework.functions.classify import any_of, has_any, looks_like_ip
+from latticework.functions.paths import let
 
 # Parts, ends and beginnings of lower-cased paths that hold no production code.
 NOISE_PARTS = ("/test/", "/tests/", "e2e_test/", "/testutil/", "/testdata/", "test_", "/archive/", "/examples/", "/example/", "/vendor/", "/third_party/", "/dist/", "/build/", "/node_modules/", "wasm/build/", "/wasm/", "demo/")
@@ -103,13 +104,20 @@ def without_templates(value: Column) -> Column:
 
 def template_value(raw: Column) -> Column:
     """What a template value comes to: its default, else the reference in it, else itself."""
-    s = F.trim(raw)
-    after = F.trim(F.regexp_extract(s, r"(?s)default (.*)$", 1))
-    quote = F.regexp_extract(after, r"""(?s)^[^"'`]*(["'`])""", 1)
-    quoted = F.when(quote == '"', F.regexp_extract(after, r'(?s)^[^"\'`]*"([^"]*)"', 0)).when(quote == "'", F.regexp_extract(after, r"(?s)^[^\"'`]*'([^']*)'", 0)).when(quote == "`", F.regexp_extract(after, r"(?s)^[^\"'`]*`([^`]*)`", 0))
-    inside = F.when(F.coalesce(quoted, F.lit("")) != "", F.regexp_extract(quoted, r"""(?s)["'`](.*)["'`]$""", 1))
-    bare = F.nullif(F.regexp_extract(after, r"^([^ }]*)", 1), F.lit(""))
-    has_default = F.contains(s, F.lit("default "))
-    reference = F.nullif(F.trim(F.substring_index(F.trim(F.regexp_replace(s, r"^\{+|\}+$", "")), "|", 1)), F.lit(""))
-    pure = F.when(s.startswith("{{") & s.endswith("}}"), reference)
-    return F.when(~F.contains(s, F.lit("{{")), s).otherwise(F.coalesce(F.when(has_default, F.coalesce(inside, bare)), pure, s))
+    return let(F.trim(raw), lambda s: F.when(~F.contains(s, F.lit("{{")), s).otherwise(F.coalesce(_default(s), _reference(s), s)))
+
+
+def _default(s: Column) -> Column:
+    """What follows ``default``: quoted by whichever quote comes first and ends, else up to a space or brace; null without it."""
+
+    def of(after: Column) -> Column:
+        quoted = F.regexp_extract(after, r"""(?s)^[^"'`]*("[^"]*"|'[^']*'|`[^`]*`)""", 1)
+        return F.when(quoted != "", F.regexp_extract(quoted, r"(?s)^.(.*).$", 1)).otherwise(F.nullif(F.regexp_extract(after, r"^([^ }]*)", 1), F.lit("")))
+
+    return F.when(F.contains(s, F.lit("default ")), let(F.trim(F.regexp_extract(s, r"(?s)^.*?default (.*)$", 1)), of))
+
+
+def _reference(s: Column) -> Column:
+    """What a template alone refers to."""
+    inner = F.trim(F.substring_index(F.trim(F.regexp_replace(s, r"^\{+|\}+$", "")), "|", 1))
+    return F.when(s.startswith("{{") & s.endswith("}}"), F.nullif(inner, F.lit("")))
