@@ -42,7 +42,8 @@ LOW_SHARE = 0.2
 BLOCK_SETS = 2000
 #: Ids that are broadcast at most (16 MB of numbers).
 BROADCAST_IDS = 1_000_000
-CACHED_WORDS = 500_000
+#: Words that a task remembers; it forgets them when there are more, and at its end.
+CACHED_WORDS = 200_000
 
 
 # ---- shingles -------------------------------------------------------------------------------------------------------------------
@@ -103,6 +104,7 @@ def sets_of(docs: DataFrame, size: int = SHINGLE, share: float = 1.0) -> DataFra
                 keys = pa.array([set_key(s) if len(s) else None for s in found], pa.int64())
                 low = _lists([s[: np.searchsorted(s, most, "right")] for s in found])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), keys, low], names=["doc_id", "n_shingles", "key", "hashes"])
+        _hashes.clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
