@@ -6,7 +6,6 @@ from enum import IntEnum
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 class NodeKind(IntEnum):
@@ -45,9 +44,10 @@ CODE_EDGES = 1 << 1 | 1 << 2
 SUB_FUNCTION, SUB_TYPE = 0, 1
 SUB_HTTP, SUB_WEBSOCKET, SUB_QUEUE = 0, 1, 3
 
-NODES = T.StructType.fromDDL("id bigint, kind tinyint, sub_kind tinyint, flags int, name string, file string, line int, parent bigint, repo int")
-EDGES = T.StructType.fromDDL("src bigint, dst bigint, kind tinyint, confidence smallint, flags int")
-NETWORK_CALLS = T.StructType.fromDDL("file string, line int, net_kind string, callee_fqn string, address_source string, confidence string, repo string, seq bigint")
+#: Schemas, as DDL.
+NODES = "id bigint, kind tinyint, sub_kind tinyint, flags int, name string, file string, line int, parent bigint, repo int"
+EDGES = "src bigint, dst bigint, kind tinyint, confidence smallint, flags int"
+NETWORK_CALLS = "file string, line int, net_kind string, callee_fqn string, address_source string, confidence string, repo string, seq bigint"
 
 #: Ranks of how a call's kind was found out.
 CONFIDENCE_RANK = {"type_confirmed": 4, "llm_classified": 3, "import_resolved": 2, "heuristic": 1}

@@ -25,7 +25,7 @@ ENV_DEFS = f"select concat('repo', cast(s_suppkey % 3 as varchar(9))) as repo, c
 ENV_READS = "select concat('repo', cast(c_custkey % 3 as varchar(9))) as repo, concat('VAR_', cast(c_custkey % 60 as varchar(9))) as var_name, concat('c', cast(c_custkey % 10 as varchar(9)), '.py') as file, cast(c_custkey as int) as line from {customer} where c_custkey < 300"
 BUILT = "select concat('repo', cast(p_partkey % 2 as varchar(9))) as repo, concat('gcr.io/', lower(replace(p_brand, '#', '-')), '/', lower(replace(p_type, ' ', '-')), ':v', cast(p_size as varchar(9))) as image_ref, 'Dockerfile' as file from {part} where p_partkey % 10 = 0"
 USED = "select concat('repo', cast(p_partkey % 3 as varchar(9))) as repo, concat(case when p_partkey % 3 = 0 then 'gcr.io' else 'host:5000' end, '/', lower(replace(p_brand, '#', '-')), '/', lower(replace(p_type, ' ', '-')), case when p_partkey % 4 = 0 then '@sha256:0a' when p_partkey % 4 = 1 then ':latest' else '' end) as image_ref, 'k8s.yaml' as file, cast(p_partkey as int) as line from {part} where p_partkey % 10 = 5"
-WS = "select page_id, concat('repo', cast(page_id % 3 as varchar(9))) as repo, concat(case page_id % 3 when 0 then '' when 1 then 'ws://svc.ns.svc.cluster.local:80' else 'wss://host' end, '/ws/', cast(page_id % 15 as varchar(9)), case when page_id % 4 = 0 then '/in/' else '' end) as url, concat('f', cast(page_id as varchar(9))) as file, cast(page_id as int) as line from {pages}"
+WS = "select page_id, concat('repo', cast(page_id % 3 as varchar(9))) as repo, concat(case page_id % 3 when 0 then '' when 1 then 'ws://api.ns.svc.cluster.local:80' else 'wss://host' end, '/ws/', cast(page_id % 15 as varchar(9)), case when page_id % 4 = 0 then '/in/' else '' end) as url, concat('f', cast(page_id as varchar(9))) as file, cast(page_id as int) as line from {pages}"
 WS_CLIENTS = f"select repo, url, file, line from ({WS}) w where page_id % 2 = 1"
 WS_SERVERS = f"select repo, url as path, file, line from ({WS}) w where page_id % 2 = 0"
 

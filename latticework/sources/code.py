@@ -39,7 +39,7 @@ _IMPORT = {
     "java": r"^\s*import\s+(?:static\s+)?(?P<path>[\w.*]+)\s*;",
 }
 _IMPORT["cpp"] = _IMPORT["c"]
-_CONSTANT = r"""^\s*(?:export\s+)?(?:(?:public|private|static|final|const|constexpr|let|var|#define|char|std::string|String|string|auto|\*|\s)+)\s*(?P<name>\w+)\s*(?:\[\])?\s*(?::\s*string\s*)?(?::?=|\s)\s*["'`](?P<value>[^"'`]*)["'`]"""
+_CONSTANT = r"""^\s*(?:export\s+)?(?:(?:public|private|static|final|const|constexpr|let|var|char|std::string|String|string|auto|\*)[\s*]+)+(?P<name>\w+)\s*(?:\[\])?\s*(?::\s*string\s*)?=\s*["'`](?P<value>[^"'`]*)["'`]|^\s*#\s*define\s+(?P<name2>\w+)\s+"(?P<value2>[^"]*)"|^\s*(?P<name3>\w+)\s*:=\s*["`](?P<value3>[^"`]*)["`]"""
 _CALL = re.compile(r"""(?P<recv>(?:[A-Za-z_]\w*(?:\(\))?(?:\.|->|::))*)(?P<name>[A-Za-z_]\w*)\s*\(""")
 _KEYWORDS = frozenset("if for while switch return catch func function else sizeof new typeof await defer go range select case".split())
 _STRING = re.compile(r'''"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)'|`([^`]*)`''')
@@ -151,7 +151,9 @@ def line_facts(content: str, language: str) -> list[dict]:
                 out.append(_row(fact, defined, number))
                 owner = defined if fact == "function" else owner
         if m := constant.search(line):
-            out.append(_row("constant", m["name"], number, value=m["value"], owner=owner))
+            which = m.groupdict()
+            name, value = next((which[n], which[v]) for n, v in (("name", "value"), ("name2", "value2"), ("name3", "value3")) if which[n])
+            out.append(_row("constant", name, number, value=value, owner=owner))
         if m := re.search(r"process\.env(?:\.(\w+)|\[['\"](\w+)['\"]\])", line):
             out.append(_row("env", m[1] or m[2], number, owner=owner))
         for m in _CALL.finditer(line):

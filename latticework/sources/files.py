@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,17 +18,40 @@ MANIFESTS = ("go.mod", "package.json", "requirements.txt", "pyproject.toml")
 
 
 def scan(spark: SparkSession, root: str, repo: str, ignore: list[str] | None = None) -> DataFrame:
-    """repo, file (below the root), length and content of all files, hidden ones too, but what the ignore patterns name."""
+    """repo, file (below the root), length and content of all files, hidden ones too, but what the ignore patterns name.
+
+    Spark's reader passes hidden files and folders over; their paths, few as they are, are listed on the driver and read by tasks.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     start = re.sub(r"^[a-z]+:/*", "", root).strip("/")
     file = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", ""), "^/*" + re.escape(start) + "/", "")
-    rows = raw.select(F.lit(repo).alias("repo"), file.alias("file"), "length", "content")
+    rows = raw.select(F.lit(repo).alias("repo"), file.alias("file"), "length", "content").unionByName(_hidden(spark, root, repo))
     rows = rows.where(~F.col("file").rlike(r"(^|/)\.git/"))
     for pattern in ignore or []:
         rows = rows.where(~ignored(F.col("file"), pattern))
     return rows.withColumn("content", F.col("content").cast("string"))
 
 
+def _hidden(spark: SparkSession, root: str, repo: str) -> DataFrame:
+    fields = "repo string, file string, length bigint, content binary"
+    system, base = fs.FileSystem.from_uri(root)
+    found = [f.path[len(base.rstrip("/")) + 1 :] for f in system.get_file_info(fs.FileSelector(base, recursive=True)) if f.is_file]
+    found = [f for f in found if re.search(r"(^|/)[._]", f) and not re.search(r"(^|/)\.git/", f)]
+    if not found:
+        return spark.createDataFrame([], fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, folder = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            data = []
+            for name in batch["file"]:
+                with store.open_input_file(f"{folder.rstrip('/')}/{name}") as f:
+                    data.append(f.read())
+            yield pd.DataFrame({"repo": repo, "file": batch["file"], "length": [len(d) for d in data], "content": data})
+
+    return spark.createDataFrame([(f,) for f in found], "file string").repartition("file").mapInPandas(run, fields)
+
+
 def ignored(file: Column, pattern: str) -> Column:
     """Whether a pattern of an ignore file names a file: ``*`` within a name, ``**`` across folders, a slash inside ties it to the root, one at the end means folders."""
     p = pattern.strip()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.functions import paths, predicates
@@ -11,6 +11,11 @@ from latticework.sources.lines import indent, lines_of, yaml_field
 WORKLOADS = ("Deployment", "StatefulSet", "DaemonSet")
 
 
+def _bare(text: Column) -> Column:
+    """A line without the white space around it."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def _in_file():
     return Window.partitionBy("repo", "file").orderBy("line")
 
@@ -24,7 +29,7 @@ def _so_far():
 
 def protos(files: DataFrame) -> DataFrame:
     """repo, file, line, package, service, method and name (package.service.method) of every rpc. A service ends at a line that is ``}`` alone."""
-    text = F.trim("text")
+    text = _bare(F.col("text"))
     rows = lines_of(files).withColumn("text", F.regexp_replace(text, r"\s*//.*$", ""))
     rows = rows.withColumn("package", F.first(F.nullif(F.regexp_extract("text", r"^package\s+([\w.]+)\s*;", 1), F.lit("")), ignorenulls=True).over(Window.partitionBy("repo", "file")))
     opened = F.nullif(F.regexp_extract("text", r"^service\s+(\w+)", 1), F.lit(""))
@@ -61,7 +66,7 @@ def env_bindings(files: DataFrame) -> DataFrame:
     A variable is a ``name:`` in a list that a ``value:`` follows on the next line of text. The workload is the document's first name
     outside of lists.
     """
-    rows = yaml_documents(files).where(F.trim("text") != "")
+    rows = yaml_documents(files).where(_bare(F.col("text")) != "")
     text = F.col("text")
     in_list = text.rlike(r"^\s*-\s")
     own = F.first(F.when(~in_list & (indent(text) > 0), yaml_field(text, "name")), ignorenulls=True).over(Window.partitionBy("repo", "file", "doc").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -73,7 +78,7 @@ def env_bindings(files: DataFrame) -> DataFrame:
 
 def secret_variables(files: DataFrame) -> DataFrame:
     """repo, file, line and var_name of variables that ``valueFrom`` fills."""
-    rows = yaml_documents(files).where(F.trim("text") != "")
+    rows = yaml_documents(files).where(_bare(F.col("text")) != "")
     rows = rows.withColumn("var_name", F.when(F.col("text").rlike(r"^\s*-\s"), yaml_field(F.col("text"), "name"))).withColumn("after", F.lead("text").over(_document()))
     return rows.where(F.col("var_name").isNotNull() & yaml_field(F.col("after"), "valueFrom").isNotNull()).select("repo", "file", "line", "var_name")
 
@@ -86,7 +91,7 @@ def container_images(files: DataFrame) -> DataFrame:
 
 def services(files: DataFrame) -> DataFrame:
     """repo, file, name, namespace (``default`` without one), ports and selector of Service documents; line is that of the kind."""
-    rows = yaml_documents(files).where("kind = 'Service'").where(F.trim("text") != "")
+    rows = yaml_documents(files).where("kind = 'Service'").where(_bare(F.col("text")) != "")
     text, depth = F.col("text"), indent(F.col("text"))
     top = F.last(F.when(depth == 0, F.regexp_extract(text, r"^(\w+):", 1)), ignorenulls=True).over(_document().rowsBetween(Window.unboundedPreceding, 0))
     second = F.last(F.when(depth <= 2, F.when(depth == 2, F.regexp_extract(text, r"^\s*(\w+):", 1)).otherwise("")), ignorenulls=True).over(_document().rowsBetween(Window.unboundedPreceding, 0))
@@ -124,7 +129,7 @@ def network_variables(files: DataFrame) -> DataFrame:
 
 def dockerfiles(files: DataFrame) -> DataFrame:
     """repo, file, line, image_ref of each FROM but ``scratch``, with the file's exposed ports, variables, entry point and command."""
-    rows = lines_of(files).withColumn("text", F.trim("text"))
+    rows = lines_of(files).withColumn("text", _bare(F.col("text")))
     word = F.upper(F.regexp_extract("text", r"^(\w+)\s", 1))
     rest = F.regexp_extract("text", r"^\w+\s+(.*)$", 1)
     rows = rows.withColumn("word", word).withColumn("rest", rest)
@@ -149,7 +154,7 @@ def dependencies(files: DataFrame) -> DataFrame:
     """repo, file, name, version and is_dev of what manifests require."""
     base = F.substring_index("file", "/", -1)
     kept = ["repo", "file", "name", "version", "is_dev"]
-    go = lines_of(files.where(base == "go.mod")).withColumn("text", F.trim("text"))
+    go = lines_of(files.where(base == "go.mod")).withColumn("text", _bare(F.col("text")))
     in_block = F.last(F.when(F.col("text").rlike(r"^require\s*\("), True).when(F.col("text") == ")", False), ignorenulls=True).over(_so_far())
     spec = r"^(?:require\s+)?([^\s()]+)\s+(v\S+)"
     go = go.withColumn("open", F.coalesce(in_block, F.lit(False))).where((F.col("open") | F.col("text").startswith("require ")) & (F.regexp_extract("text", spec, 1) != ""))
@@ -158,7 +163,7 @@ def dependencies(files: DataFrame) -> DataFrame:
     listed = [node.select("repo", "file", F.explode(f"j.{k}").alias("name", "version"), F.lit(dev).alias("is_dev")) for k, dev in (("dependencies", False), ("devDependencies", True))]
     req = lines_of(files.where(base == "requirements.txt")).withColumn("text", F.trim(F.regexp_replace("text", r"\s*#.*$", ""))).where(~F.col("text").startswith("-"))
     python = _requirements(req.select("repo", "file", "text", F.lit(False).alias("is_dev")))
-    toml = lines_of(files.where(base == "pyproject.toml")).withColumn("text", F.trim("text"))
+    toml = lines_of(files.where(base == "pyproject.toml")).withColumn("text", _bare(F.col("text")))
     table = F.last(F.when(F.col("text").rlike(r"^\["), F.regexp_extract("text", r"^\[+([^\]]+)\]+", 1)), ignorenulls=True).over(_so_far())
     toml = toml.withColumn("table", table)
     key = F.last(F.when(F.col("text").rlike(r"^[\w.-]+\s*=\s*\["), F.regexp_extract("text", r"^([\w.-]+)", 1)).when(F.col("text").startswith("]"), ""), ignorenulls=True).over(_so_far())

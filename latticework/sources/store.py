@@ -64,7 +64,7 @@ def load_remote_networks(spark: SparkSession, folder: str) -> DataFrame:
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.network\.json", 1)
     first = Window.partitionBy("file", "line").orderBy("remote", "seq")
     rows = rows.withColumn("remote", name).withColumn("place", F.row_number().over(first)).where("place = 1")
-    return rows.withColumn("file", F.concat(F.lit("["), "remote", F.lit("] "), "file")).select(model.NETWORK_CALLS.fieldNames())
+    return rows.withColumn("file", F.concat(F.lit("["), "remote", F.lit("] "), "file")).select(*(f.split()[0] for f in model.NETWORK_CALLS.split(", ")))
 
 
 def custom_rules(spark: SparkSession, text: str) -> DataFrame:
