@@ -131,7 +131,7 @@ def test_network_files(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    rows = spark.range(1000).selectExpr("id", "concat('k', id % 7) as k", "timestamp_seconds(id) as ts")
+    rows = spark.range(1000).selectExpr("id", "concat('k', id % 7) as k", "timestamp_seconds(id + 86400) as ts")
     rows.repartition(5).write.parquet(f"{tmp_path}/in")
     stream = incremental.changes(spark, f"{tmp_path}/in", "id bigint, k string, ts timestamp", 2)
     got = incremental.stored_counts(spark, stream, ["k"], f"{tmp_path}/out", f"{tmp_path}/cp")
