@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows below which a table with an unknown growth is small enough to broadcast.
-BROADCAST_ROWS = 200_000
+from latticework import storage
+from latticework.storage import new_dir, small, stored
+
+__all__ = ["ascii_lower", "give_back", "hex_bucket", "hex_digits", "new_dir", "small", "stored", "table"]
+
+#: Rows up to which a counted table may be broadcast.
+BROADCAST_ROWS = storage.BROADCAST_ROWS
 #: Rows that one task of a salted or bucketed step should get.
 ROWS_PER_BUCKET = 20_000
 
@@ -18,35 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; a temporary one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        path = "file://" + tempfile.mkdtemp(prefix="latticework-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared one, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again: its lineage ends there, whichever executors are lost."""
-    spark = df.sparkSession
-    path = new_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the limit; beyond it Spark joins by shuffle."""
-    return F.broadcast(df) if rows <= limit else df
+def give_back() -> None:
+    """Returns memory that a worker no longer needs to the system: workers stay when their tasks are done."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only some C libraries have it
+        pass
 
 
 def ascii_lower(c: Column) -> Column:

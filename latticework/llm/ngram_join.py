@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latticework.llm.common import small, stored
+from latticework.llm.common import give_back, small, stored
 from latticework.llm.components import components
 
 SHINGLE = 3
@@ -105,6 +105,7 @@ def sets_of(docs: DataFrame, size: int = SHINGLE, share: float = 1.0) -> DataFra
                 low = _lists([s[: np.searchsorted(s, most, "right")] for s in found])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), keys, low], names=["doc_id", "n_shingles", "key", "hashes"])
         _hashes.clear()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -277,6 +278,7 @@ def linked(members: DataFrame, percent: int) -> DataFrame:
                 out = []
         out += _join_group(list(rows.values()), percent) if len(rows) > 1 else []
         yield _edges(out)
+        give_back()
 
     dealt = members.select("cluster", "part", "key", "n_shingles", "ranked", "component", "asks").repartition("cluster", "part").sortWithinPartitions("cluster", "part")
     return dealt.mapInArrow(run, "a long, b long")
