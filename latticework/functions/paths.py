@@ -100,3 +100,32 @@ def image_path(ref: Column) -> Column:
 
 def image_name(ref: Column) -> Column:
     return F.substring_index(image_path(ref), "/", -1)
+
+
+def url_path(url: Column) -> Column:
+    """The path of a URL or a bare path, null for none and for the root."""
+    after = F.regexp_extract(url, r"(?s)^.*?://[^/]*(/.*)$", 1)
+    return F.when(F.length(after) > 1, after).when(url.startswith("/") & (F.length(url) > 1), url)
+
+
+def hint_path(hint: Column) -> Column:
+    """The first word of a hint that is a path, without closing parentheses; null for none."""
+    words = F.transform(F.split(hint, r"\s+"), lambda w: F.regexp_replace(w, r"\)+$", ""))
+    return F.get(F.filter(words, lambda w: w.startswith("/") & (F.length(w) > 1)), F.lit(0))
+
+
+def address_hint(source: Column, chain: Column | None = None, target: Column | None = None) -> Column:
+    """What is known of an address: the path in a rendered chain or the chain, else by the JSON source, else the target's name."""
+    read = lambda path: F.get_json_object(source, path)
+    dynamic = read("$.Dynamic.hint")
+    known = [read("$.Literal.value"), hint_path(dynamic), dynamic, read("$.EnvVar.k8s_value"), F.concat(F.lit("env:"), read("$.EnvVar.var_name"))]
+    return F.coalesce(*([hint_path(chain), chain] if chain is not None else []), *known, *([target] if target is not None else []), F.lit(""))
+
+
+def import_alias(path: Column, language: Column) -> Column:
+    """The name under which an import is used without an alias of its own; null where a language has none.
+
+    Go's is the last segment, without a version suffix of one digit; Java's what follows the last dot.
+    """
+    go = F.substring_index(F.regexp_replace(path, r"/v[0-9]$", ""), "/", -1)
+    return F.when(language == "go", go).when(language == "python", path).when(language == "java", F.substring_index(path, ".", -1)).when(language == "typescript", F.substring_index(path, "/", -1))

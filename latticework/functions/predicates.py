@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from latticework.functions.classify import any_of, has_any, looks_like_ip
+from latticework.functions.classify import any_of, has_any
 from latticework.functions.paths import let
 
 # Parts, ends and beginnings of lower-cased paths that hold no production code.
@@ -25,16 +25,22 @@ def noise_path(path: Column) -> Column:
     return has_any(p, *NOISE_PARTS) | any_of([p.endswith(x) for x in NOISE_ENDS]) | any_of([p.startswith(x) for x in NOISE_STARTS])
 
 
+# Ends of the names of test files, and lower-cased folders of tests; Python's are told by their stem.
+TEST_ENDS = ("_test.go", "_test.rs", ".test.ts", ".test.tsx", ".test.js", ".test.jsx", ".spec.ts", ".spec.tsx", ".spec.js", ".spec.jsx", ".test-d.ts", "Test.java", "Tests.java", "IT.java", "_test.cc", "_test.cpp", "_test.c")
+TEST_FOLDERS = ("/test/", "/__tests__/", "/spec/", "/testdata/", "/fixtures/")
+# Ends of the names of files that protocol compilers write.
+GENERATED_ENDS = ("_pb2_grpc.py", "_pb2.py", ".pb.go", "_grpc_pb.js", "_pb.js", "_grpc_pb.d.ts", "Grpc.java")
+
+
 def test_path(path: Column) -> Column:
     """Files of tests, by the customs of the languages."""
-    name = F.substring_index(path, "/", -1)
-    suffix = r"(_test\.go|_test\.py|\.(test|spec)\.[jt]sx?|_test\.(c|cc|cpp|cxx)|_unittest\.(cc|cpp)|Tests?\.java)$"
-    return name.rlike(suffix) | name.rlike(r"^(test_.*\.py|conftest\.py)$") | path.rlike(r"(^|/)(tests?|__tests__|testdata|testutil)/")
+    name, path = F.substring_index(path, "/", -1), F.concat(F.lit("/"), path)
+    return any_of([name.endswith(e) for e in TEST_ENDS]) | name.rlike(r"^test_.*\.py$|_test\.py$") | F.contains(path, F.lit("/tests/")) | has_any(F.lower(path), *TEST_FOLDERS)
 
 
 def generated_path(path: Column) -> Column:
     """Files that protocol compilers write."""
-    return path.rlike(r"(\.pb\.go|_pb2(_grpc)?\.pyi?|\.pb\.(h|cc)|_grpc_pb\.(js|d\.ts)|_pb\.(js|d\.ts)|\.pb\.gw\.go)$")
+    return any_of([path.endswith(e) for e in GENERATED_ENDS])
 
 
 def env_name_strict(name: Column) -> Column:
@@ -66,10 +72,14 @@ def network_value(value: Column) -> Column:
     return any_of([v.startswith(f"{s}://") for s in SCHEMES]) | F.contains(v, F.lit(".svc.cluster.local")) | host_port(v)
 
 
+# What an address has, starts with or ends in.
+ADDRESS_PARTS, ADDRESS_STARTS, ADDRESS_ENDS = ("://", "localhost"), (":", "http", "grpc"), (".com", ".io", ".net", ".local")
+
+
 def address_like(value: Column) -> Column:
     """What an argument looks like if it names a peer."""
-    v = F.lower(value)
-    return F.contains(v, F.lit("://")) | v.rlike(r"(?s)^.+:[0-9]+$") | F.contains(v, F.lit("localhost")) | looks_like_ip(v) | F.contains(v, F.lit(".svc."))
+    sided = any_of([value.startswith(s) for s in ADDRESS_STARTS] + [value.endswith(e) for e in ADDRESS_ENDS])
+    return has_any(value, *ADDRESS_PARTS) | (F.contains(value, F.lit(":")) & value.rlike("[0-9]")) | sided
 
 
 def cross_repo(a: Column, b: Column) -> Column:

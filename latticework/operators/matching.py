@@ -217,3 +217,32 @@ def overlay(index: DataFrame, calls_map: str, serves_map: str, kind: EdgeKind, c
 def index_of(facts: DataFrame) -> DataFrame:
     """map_name, key and entries, an ordered list of (repo_id, repo_name, file, line, symbol): the index as a multimap."""
     return facts.groupBy("map_name", "key").agg(F.array_sort(F.collect_list(F.struct("repo_id", "repo_name", "file", "line", "symbol"))).alias("entries"))
+
+
+def overlay_edges(stable: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges between ids of overlay() rows: each end is the last symbol, endpoint or surface at or before its line in its file, else one of its name."""
+    known = nodes.where(F.col("kind").isin(int(NodeKind.SYMBOL), int(NodeKind.ENDPOINT), int(NodeKind.SURFACE)))
+    defs = known.where("file is not null").select(F.col("repo").alias("repo_id"), "file", "line", "id")
+    by_name = known.groupBy(F.col("repo").alias("repo_id"), F.col("name").alias("symbol")).agg(F.min("id").alias("named"))
+    rows = stable
+    for side, end in (("source", "src"), ("target", "dst")):
+        site = rows.withColumns({c: F.col(f"{side}_{c}") for c in ("repo_id", "file", "line", "symbol")})
+        met = enclosing(site, defs, ("repo_id", "file")).join(by_name, ["repo_id", "symbol"], "left")
+        rows = met.withColumn(end, F.coalesce("definition", "named")).drop("repo_id", "file", "line", "symbol", "definition", "named")
+    return rows.where("src <> dst").select("src", "dst", "kind", "confidence", "flags").distinct()
+
+
+def call_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """caller and callee, the names at both ends of Calls edges."""
+    names = nodes.select("id", "name")
+    calls = edges.where(F.col("kind") == int(EdgeKind.CALLS)).select("src", "dst")
+    return calls.join(names.select(F.col("id").alias("src"), F.col("name").alias("caller")), "src").join(names.select(F.col("id").alias("dst"), F.col("name").alias("callee")), "dst").select("caller", "callee")
+
+
+def function_ranges(nodes: DataFrame) -> DataFrame:
+    """id, file, line and next_line, where the next symbol of the file begins (null for the last)."""
+    from pyspark.sql import Window
+
+    symbols = nodes.where((F.col("kind") == int(NodeKind.SYMBOL)) & F.col("file").isNotNull())
+    at = symbols.select("file", "line").distinct().withColumn("next_line", F.lead("line").over(Window.partitionBy("file").orderBy("line")))
+    return symbols.select("id", "file", "line").join(at, ["file", "line"])

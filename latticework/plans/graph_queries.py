@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.model import ALL_EDGES, CODE_EDGES, SERVICE_EDGES, kinds_of, mask_of
-from latticework.operators import graph, traverse
+from latticework.operators import graph, matching, traverse
 from latticework.plans import bridge
 from latticework.plans.registry import query
 
@@ -199,3 +199,29 @@ def caller_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_reach_sql([7_000_000_003], ALL_EDGES, 2, "up") + " select kind, count(*) as n from r join n on n.id = r.node where node <> 7000000003 group by kind")
 def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.impact(bridge.nodes(spark, sf_dir), bridge.edges(spark, sf_dir), 7_000_000_003, 2)
+
+
+_SYMS = "select o_orderkey as id, 3 as kind, concat('f', cast(o_custkey % 30 as varchar(9))) as file, cast(o_orderkey % 700 as int) as line from {orders}"
+
+
+@query(f"with s as ({bridge.oracle(_SYMS)}), a as (select file, line, lead(line) over (partition by file order by line) as next_line from (select distinct file, line from s) d) select id, file, line, coalesce(next_line, -1) as next_line from s join a using (file, line)")
+def function_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matching.function_ranges(bridge.frame(spark, sf_dir, _SYMS))
+    return found.select("id", "file", "line", F.coalesce("next_line", F.lit(-1)).alias("next_line"))
+
+
+@query(f"{WITH} select a.name as caller, b.name as callee from e join n a on a.id = e.src join n b on b.id = e.dst where e.kind = 1")
+def call_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.call_names(bridge.edges(spark, sf_dir), bridge.nodes(spark, sf_dir))
+
+
+@query(f"{WITH} select count(*) as resolved, (select count(*) from e where dst not in (select id from n where kind <> 7)) as dangling from e where dst in (select id from n where kind <> 7)")
+def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, known = bridge.edges(spark, sf_dir), bridge.nodes(spark, sf_dir).where("kind <> 7").select(F.col("id").alias("dst"))
+    return graph.completeness(edges.join(known, "dst", "left_semi"), edges.join(known, "dst", "left_anti")).select("resolved", "dangling")
+
+
+@query(f"{WITH} select dst as id, min(src) as parent from e where kind = 0 group by dst")
+def derived_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = bridge.nodes(spark, sf_dir).withColumn("parent", F.lit(None).cast("bigint"))
+    return graph.derived_parents(nodes, bridge.edges(spark, sf_dir)).where("parent is not null").select("id", "parent")

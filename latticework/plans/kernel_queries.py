@@ -204,3 +204,13 @@ def trace_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     uses = orders.select(F.col("o_orderkey").alias("use"), F.lit("f").alias("file"), F.lit(10).alias("at"), F.concat(F.lit("v"), text).alias("name"))
     made = orders.select(F.lit("f").alias("file"), F.lit(3).alias("at"), F.concat(F.lit("v"), text).alias("name"), F.lit("literal").alias("kind"), text.alias("value")).distinct()
     return provenance.trace_back(uses, made).select("use", "depth", "kind", "value")
+
+
+@query(f"with c as ({CALLS}) select seq, case when starts_with(address_source, '{{\"EnvVar\"') then 'env:' || regexp_extract(address_source, '\"var_name\":\"([^\"]*)\"', 1) when starts_with(address_source, '{{\"Literal\"') then 'http://a' else '' end as hint from c")
+def address_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridge.calls(spark, sf_dir).select("seq", paths.address_hint(F.col("address_source")).alias("hint"))
+
+
+@query("select page_id, coalesce(nullif(nullif(regexp_extract(url, '^.*?://[^/]*(/.*)$', 1), ''), '/'), '-') as path from pages")
+def url_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridge.table(spark, sf_dir, "pages").select("page_id", F.coalesce(paths.url_path(F.col("url")), F.lit("-")).alias("path"))

@@ -85,7 +85,7 @@ def python_facts(content: str) -> list[dict]:
                 for d in child.decorator_list:
                     call = d.func if isinstance(d, ast.Call) else d
                     first = _text(d.args[0]) if isinstance(d, ast.Call) and d.args else None
-                    out.append(_row("decorator", _dotted(call) or "?", d.lineno, value=first, owner=child.name))
+                    out.append(_row("decorator", _dotted(call) or "?", d.lineno, end=child.lineno, value=first, owner=child.name))
                 inner, classy = child.name, False
             elif isinstance(child, ast.ClassDef):
                 out.append(_row("type", child.name, child.lineno, end=child.end_lineno, owner=owner))
@@ -192,7 +192,7 @@ def env_reads(found: DataFrame) -> DataFrame:
 
 
 def http_routes(found: DataFrame) -> DataFrame:
-    """repo, path, method, framework, file, line and owner of routes that are registered by calls or decorators with a path."""
+    """repo, path, method, framework, file, line, owner and site (the line of what a decorator stands on) of routes that are registered by calls or decorators with a path."""
     lower = F.lower("name")
     verb = F.when(lower.isin(*_VERBS), F.upper("name"))
     by_call = (F.col("fact") == "call") & F.col("value").startswith("/") & (lower.isin("handlefunc", "handle", "route", "add_url_rule", "path", "re_path") | (lower.isin(*_VERBS) & F.lower(F.coalesce("receiver", F.lit(""))).rlike(r"(router|app|mux|engine|server|^r|^e|^g)$")))
@@ -200,7 +200,7 @@ def http_routes(found: DataFrame) -> DataFrame:
     by_decorator = (F.col("fact") == "decorator") & F.col("value").startswith("/") & (last.isin(*_VERBS) | last.isin("route", "websocket"))
     method = F.when(F.col("fact") == "decorator", F.when(last.isin(*_VERBS), F.upper(last)).otherwise("")).otherwise(F.coalesce(verb, F.lit("")))
     rows = found.where(by_call | by_decorator)
-    return rows.select("repo", F.col("value").alias("path"), method.alias("method"), F.col("language").alias("framework"), "file", "line", "owner")
+    return rows.select("repo", F.col("value").alias("path"), method.alias("method"), F.col("language").alias("framework"), "file", "line", "owner", F.when(F.col("fact") == "decorator", F.col("end_line")).otherwise(F.col("line")).alias("site"))
 
 
 def http_calls(found: DataFrame) -> DataFrame:
