@@ -95,25 +95,35 @@ NOISE = r"[^a-z0-9\x01\x0A]+"
 MARK = "\x01"
 
 
-def readings(text: Column) -> tuple[Column, Column]:
-    """The normalised sentences of a text, line by line, and with single line breaks as spaces: ASCII letters in lower case, digits, single spaces."""
+#: What parts words within a sentence in the second reading: a space, a single line break, or both.
+GAP = r"(?:\x20\x0A?\x20?|\x0A\x20?)"
+
+
+def cleaned(text: Column) -> Column:
+    """A text with ASCII letters in lower case, digits, line breaks, MARK where a sentence ends, and single spaces for all else."""
     stopped = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), STOP, MARK + "$1")
-    clean = F.regexp_replace(stopped, NOISE, " ")
-    joined = F.regexp_replace(F.regexp_replace(clean, r"\x0A[\x20\x0A]*\x0A", MARK), r"[\x20\x0A]+", " ")
-    return F.split(clean, r"[\x20\x01\x0A]*[\x01\x0A][\x20\x01\x0A]*"), F.split(joined, r"[\x20\x01]*\x01[\x20\x01]*")
+    return F.regexp_replace(stopped, NOISE, " ")
+
 
+def known(clean: Column, sentences: dict[str, str], by_line: bool) -> Column:
+    """The identifiers of the known sentences of a cleaned text, in order, by one of the two readings.
 
-def identifiers(parts: Column, sentences: dict[str, str] = SENTENCES) -> Column:
-    """The identifiers of the known ones among sentences, in order."""
+    One pass looks for all sentences at once where a sentence begins, and takes those that end where a sentence ends.
+    """
     names = F.create_map(*(F.lit(x) for name, s in sentences.items() for x in (s, name)))
-    known = F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s.isin([*sentences.values()]))
-    return F.transform(known, lambda s: F.element_at(names, s))
+    longest_first = sorted(sentences.values(), key=len, reverse=True)
+    if by_line:
+        found = F.regexp_extract_all(clean, F.lit(rf"(?:\A|[\x01\x0A])\x20?({'|'.join(longest_first)})(?=\x20?(?:[\x01\x0A]|\z))"), F.lit(1))
+        return F.transform(found, lambda s: F.element_at(names, s))
+    one_of = "|".join(s.replace(" ", GAP) for s in longest_first)
+    found = F.regexp_extract_all(clean, F.lit(rf"(?:\A|\x01|\x0A\x20?\x0A)[\x20\x0A]*({one_of})(?=\x20?(?:\x01|\z|\x0A[\x20\x0A]*(?:\x01|\x0A|\z)))"), F.lit(1))
+    return F.transform(found, lambda s: F.element_at(names, F.regexp_replace(s, r"[\x20\x0A]+", " ")))
 
 
 def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """Of each row: doc_id, line_ids and text_ids (the identifiers in both readings), licenses (of all matching rules, in their order) and license, the first."""
-    by_line, as_text = readings(docs["text"])
-    found = docs.select(docs["doc_id"].alias("doc_id"), identifiers(by_line, sentences).alias("line_ids"), identifiers(as_text, sentences).alias("text_ids"))
+    clean = docs.select(docs["doc_id"].alias("doc_id"), cleaned(docs["text"]).alias("clean"))
+    found = clean.select("doc_id", known(F.col("clean"), sentences, True).alias("line_ids"), known(F.col("clean"), sentences, False).alias("text_ids"))
     spelled = [F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" ")) for c in ("line_ids", "text_ids")]
     matches = [F.when(spelled[0].contains(s := f" {' '.join(ids)} ") | spelled[1].contains(s), F.lit(name)) for name, ids in rules]
     licenses = F.array_distinct(F.filter(F.array(*matches), lambda x: x.isNotNull()))
