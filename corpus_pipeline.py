@@ -1,7 +1,11 @@
 """A corpus pipeline of five stages: quality rules, n-gram Jaccard join, benchmark decontamination, mixing and sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet in the shared folder and reads again as the
-next stage's docs. All but the last return the columns of documents.
+next stage's docs. All but the last return the columns of docs, whatever others there are beside those of documents.
+
+Defined cases: rows with a null doc_id are never taken for duplicates or contaminated, as nothing tells them apart, and pass with their
+text's quality; of rows that repeat a doc_id one stays after the second stage; documents without words go in the first; an empty table
+passes through as an empty one.
 """
 
 from __future__ import annotations
@@ -21,37 +25,37 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones stays: that of the smallest doc_id, and of repeated rows one. Empty ones all stay."""
     found = ngram_join.similar_components(docs)
-    gone = found.where("key is not null and component_id is not null and doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = found.where("key is not null and component_id is not null and doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_lw_gone_id")).distinct()
     gone = stored(gone, "pipeline-gone")
-    left = docs.join(small(gone, gone.count()), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    left = docs.join(small(gone, gone.count()), docs["doc_id"] == F.col("_lw_gone_id"), "left_anti")
     return _once(left)
 
 
 def _once(docs: DataFrame) -> DataFrame:
     """docs with repeated rows of a doc_id once; rows without one stay."""
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id"))
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_lw_again_id"))
     repeated = stored(repeated, "pipeline-repeated")
     n = repeated.count()
     if not n:
         return docs
-    single = docs.join(small(repeated, n), docs["doc_id"] == F.col("again_id"), "left_anti")
-    several = docs.join(small(repeated, n), docs["doc_id"] == F.col("again_id"), "left_semi")
+    single = docs.join(small(repeated, n), docs["doc_id"] == F.col("_lw_again_id"), "left_anti")
+    several = docs.join(small(repeated, n), docs["doc_id"] == F.col("_lw_again_id"), "left_semi")
     return single.unionByName(several.dropDuplicates(["doc_id"]))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that no benchmark item contaminates."""
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = stored(found.where("contaminated and doc_id is not null").select(F.col("doc_id").alias("bad_id")).distinct(), "pipeline-bad")
-    return docs.join(small(bad, bad.count()), docs["doc_id"] == F.col("bad_id"), "left_anti")
+    bad = stored(found.where("contaminated and doc_id is not null").select(F.col("doc_id").alias("_lw_bad_id")).distinct(), "pipeline-bad")
+    return docs.join(small(bad, bad.count()), docs["doc_id"] == F.col("_lw_bad_id"), "left_anti")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    plan = mixing.mixed(docs).where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("copies").cast("int").alias("copies"))
-    plan = stored(plan.groupBy("mix_id").agg(F.max("copies").alias("copies")), "pipeline-mix")
-    taken = docs.join(small(plan, plan.count()), docs["doc_id"].eqNullSafe(F.col("mix_id")))
-    repeated = taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    plan = mixing.mixed(docs).where("copies > 0").select(F.col("doc_id").alias("_lw_mix_id"), F.col("copies").cast("int").alias("_lw_copies"))
+    plan = stored(plan.groupBy("_lw_mix_id").agg(F.max("_lw_copies").alias("_lw_copies")), "pipeline-mix")
+    taken = docs.join(small(plan, plan.count()), docs["doc_id"].eqNullSafe(F.col("_lw_mix_id")))
+    repeated = taken.withColumn("_lw_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_lw_copies"))))
     return repeated.select(*(docs[c] for c in docs.columns))
 
 

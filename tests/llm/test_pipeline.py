@@ -60,3 +60,25 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert [s for _, s in cells] == sorted(s for _, s in cells) and {s for _, s in cells} <= set(range(8))
     for shard in range(8):
         assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+
+
+def test_odd_rows_and_columns(spark, tmp_path):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, "en", "a", 1, "x", 7), (1, text, "en", "a", 1, "x", 7), (2, text + " end", "en", None, None, None, None), (None, text.upper(), None, "b", 1, "x", 7), (3, None, None, None, None, None, None), (4, "", "", "", 0, "", 0), (5, "z " * 40000, "en", "a", 1, "x", 7)]
+    rows += [(10 + k, " ".join(f"u{k}x{j}" for j in range(40)), "en", "a", 1, "x", 7) for k in range(6)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, copies long"
+    spark.createDataFrame([(1, 1, 0), (None, None, None), (10, 1, None)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(f"u0x{j}" for j in range(40))), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns or stage is corpus_pipeline.shards
+        left[name] = Counter(r.doc_id for r in out.collect())
+    assert set(left["quality rules"]) == {1, 2, None, *range(10, 16)}
+    assert left["n-gram Jaccard join"] == Counter([1, None, 3, 4, 5, *range(10, 16)])
+    assert 10 not in left["benchmark decontamination"] and left["benchmark decontamination"].total() == len(rows) - 1
+    assert set(left["sharding"]) == {r[0] for r in rows} and left["sharding"].total() == len(rows)
+    assert max(left["mixing sources to target weights"].values()) <= 6
