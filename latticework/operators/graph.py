@@ -108,10 +108,11 @@ def nearest_ancestor(nodes: DataFrame, kinds: list[int], most_hops: int = 1 << 3
     return state.where("ancestor is not null").select("id", "ancestor")
 
 
-def ancestors(nodes: DataFrame, most_hops: int) -> DataFrame:
-    """id, hops and ancestor of every node's chain of parents, up to most_hops; a parent met again ends a chain."""
+def ancestors(nodes: DataFrame, most_hops: int, only: int | None = None) -> DataFrame:
+    """id, hops and ancestor of every node's (or only one's) chain of parents, up to most_hops; a node that is its own ancestor ends a chain."""
     parents = stored(nodes.where("parent is not null and parent <> id").select(F.col("id").alias("p_id"), "parent"), "parents")
     level = parents.select(F.col("p_id").alias("id"), F.lit(1).alias("hops"), F.col("parent").alias("ancestor"))
+    level = level if only is None else level.where(F.col("id") == only)
     levels = [level]
     for hops in range(2, most_hops + 1):
         level = stored(level.join(parents, F.col("ancestor") == F.col("p_id")).where(F.col("parent") != F.col("id")).select("id", F.lit(hops).alias("hops"), F.col("parent").alias("ancestor")), "chain")

@@ -167,3 +167,15 @@ def resolves_forward(edges: DataFrame, variables: DataFrame, max_depth: int = RE
 def impact(nodes: DataFrame, edges: DataFrame, seed: int, max_depth: int = 5) -> DataFrame:
     """kind and n: what depends on a node, by kind."""
     return depends(edges, seed, ALL_EDGES, max_depth, UP).join(nodes.select(F.col("id").alias("node"), "kind"), "node").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def context(nodes: DataFrame, edges: DataFrame, node: int) -> DataFrame:
+    """relation, kind and id around a node: itself, its ancestors, and its neighbours by edges in both directions."""
+    from latticework.operators.graph import ancestors
+
+    up = {r.hops: r.ancestor for r in ancestors(nodes, 10, node).collect()}  # ten rows at most
+    above = [("ancestor", None, up[h]) for h in sorted(up)]
+    own = nodes.sparkSession.createDataFrame([("self", None, node), *above], "relation string, kind int, id bigint")
+    out = edges.where(F.col("src") == node).select(F.lit("to").alias("relation"), F.col("kind").cast("int").alias("kind"), F.col("dst").alias("id"))
+    into = edges.where(F.col("dst") == node).select(F.lit("from").alias("relation"), F.col("kind").cast("int").alias("kind"), F.col("src").alias("id"))
+    return own.unionByName(out).unionByName(into).distinct()

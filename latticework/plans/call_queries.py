@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from latticework.functions import classify, paths, predicates
 from latticework.model import EdgeKind
 from latticework.operators import calls as C
+from latticework.operators import history
 from latticework.operators import matching as M
 from latticework.plans import bridge
 from latticework.plans.registry import query
@@ -294,3 +295,18 @@ _BARE = "string_split(string_split(string_split(string_split(string_split(lower(
 def outbound_endpoint_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = C.outbound_matches(_frame(spark, sf_dir, _OUT), _frame(spark, sf_dir, _ENDS))
     return found.select("file", "line", "callee", "e_file", "e_line", "e_path", "match_type")
+
+
+# ---- snapshots ------------------------------------------------------------------------------------------------------------------
+
+_SNAPS = "select k as snapshot, concat('f', cast(o_orderkey as varchar(9))) as name from {orders} cross join (values (0), (1), (2), (3)) t(k) where o_orderkey < 2000 and (o_custkey + k * 7) % 5 <> 0"
+
+
+@query(f"with s as ({_o(_SNAPS)}) select snapshot, change, count(*) as n from (select snapshot, name, 'added' as change from s a where not exists (select 1 from s b where b.name = a.name and b.snapshot = a.snapshot - 1) union all select snapshot + 1, name, 'removed' from s a where snapshot < 3 and not exists (select 1 from s b where b.name = a.name and b.snapshot = a.snapshot + 1)) x group by snapshot, change")
+def history_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.log_counts(history.log(_frame(spark, sf_dir, _SNAPS), ["name"]))
+
+
+@query(f"with s as ({_o(_SNAPS)}) select name, max(snapshot) as since from s a where not exists (select 1 from s b where b.name = a.name and b.snapshot = a.snapshot - 1) and name in (select name from s where snapshot = 3) group by name")
+def history_blame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.blame(_frame(spark, sf_dir, _SNAPS), ["name"])

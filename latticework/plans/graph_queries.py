@@ -225,3 +225,9 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derived_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = bridge.nodes(spark, sf_dir).withColumn("parent", F.lit(None).cast("bigint"))
     return graph.derived_parents(nodes, bridge.edges(spark, sf_dir)).where("parent is not null").select("id", "parent")
+
+
+@query(f"{WITH} select 'self' as relation, -1 as kind, {SUPPLIER} as id union select 'ancestor', -1, parent from n where id = {SUPPLIER} union select 'ancestor', -1, p.parent from n join n p on p.id = n.parent where n.id = {SUPPLIER} union select 'to', kind, dst from e where src = {SUPPLIER} union select 'from', kind, src from e where dst = {SUPPLIER}")
+def node_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = traverse.context(bridge.nodes(spark, sf_dir), bridge.edges(spark, sf_dir), SUPPLIER)
+    return found.select("relation", F.coalesce("kind", F.lit(-1)).alias("kind"), "id")

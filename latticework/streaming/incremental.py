@@ -62,3 +62,33 @@ def stored_counts(spark: SparkSession, stream: DataFrame, by: list[str], folder:
 
     run_available(stream, each, checkpoint)
     return spark.read.parquet(folder).groupBy(*by).agg(F.sum("n").alias("n"))
+
+
+def maintain(spark: SparkSession, stream: DataFrame, key: list[str], folder: str, checkpoint: str, buckets: int = 64) -> None:
+    """Keeps the facts of files current from a stream of all facts of changed files (columns file and key), and the changes of each batch.
+
+    State lies in buckets of files; a batch writes only the buckets it touches, under its number, and the highest number of a bucket is
+    its state. So a batch that is run again replaces what it wrote, and no state is ever half written.
+    """
+    bucket = F.pmod(F.xxhash64("file"), F.lit(buckets)).cast("int")
+
+    def each(batch: DataFrame, number: int) -> None:
+        new = batch.select("file", *[k for k in key if k != "file"]).distinct().withColumn("bucket", bucket).persist()
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # buckets at most
+        if touched:
+            before = maintained(spark, folder, number).where(F.col("bucket").isin(touched)) if number else new.limit(0)
+            changed = fact_changes(before, new, key)
+            changed.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
+            kept = before.join(new.select("file").distinct(), "file", "left_anti").select(*new.columns)
+            kept.unionByName(new).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/state/batch={number}")
+        new.unpersist()
+
+    run_available(stream, each, checkpoint)
+
+
+def maintained(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The facts as of all batches, or as of those before a number: of each bucket the rows of its last batch."""
+    rows = spark.read.parquet(f"{folder}/state")
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    last = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
+    return rows.join(F.broadcast(last), ["bucket", "batch"], "left_semi").drop("batch")  # last: a row for each bucket

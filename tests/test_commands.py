@@ -2,8 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticework.functions import paths, predicates
+from latticework.errors import ConfigError, SymbolNotFound
 from latticework.operators import matching
-from latticework.plans import commands
+from latticework.plans import commands, tools
 from latticework.sources import store
 
 CLIENT = """import os
@@ -111,3 +112,14 @@ def test_overlay_edges(spark):
     index = spark.createDataFrame([("c", "K", 0, "r0", "a.go", 9, "x"), ("s", "K", 1, "r1", "b.go", 5, "g"), ("s", "K", 1, "r1", "none.go", 1, "S")], "map_name string, key string, repo_id int, repo_name string, file string, line int, symbol string")
     edges = matching.overlay_edges(matching.overlay(index, "c", "s", 3, 230), nodes)
     assert {(r.src, r.dst) for r in edges.collect()} == {(1, 2), (2, 1), (1, 3), (3, 1)}
+
+
+def test_tools(built):
+    assert [r.name for r in tools.call(built, "path", source="main", target="ORDERS_URL").collect()] == ["main", "fetch", "ORDERS_URL"]
+    assert [r.name for r in tools.call(built, "path", source="ORDERS_URL", target="fetch", direction="up").collect()] == ["ORDERS_URL", "fetch"]
+    assert tools.call(built, "diff", before=built.calls).count() == 0
+    assert tools.call(built, "explain", target="client.py").count() == built.calls.where("file = 'client.py'").count()
+    with pytest.raises(SymbolNotFound):
+        tools.call(built, "path", source="nobody", target="main")
+    with pytest.raises(ConfigError):
+        tools.call(built, "nothing")

@@ -148,3 +148,15 @@ def test_stream_equals_batch(spark, tmp_path):
     query = once.writeStream.outputMode("append").format("memory").queryName("once").option("checkpointLocation", f"{tmp_path}/cp3").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("once").count() == 1000
+
+
+def test_maintained_facts(spark, tmp_path):
+    schema = "file string, name string"
+    versions = [[("a", "x"), ("a", "y"), ("b", "z")], [("a", "y"), ("a", "w")], [("c", "q")]]
+    for k, rows in enumerate(versions):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = incremental.changes(spark, f"{tmp_path}/in", schema, 1)
+        incremental.maintain(spark, stream, ["file", "name"], f"{tmp_path}/out", f"{tmp_path}/cp", buckets=4)
+    assert {(r.file, r.name) for r in incremental.maintained(spark, f"{tmp_path}/out").collect()} == {("a", "y"), ("a", "w"), ("b", "z"), ("c", "q")}
+    second = spark.read.parquet(f"{tmp_path}/out/changes").where("batch = 1")
+    assert {(r.file, r.name, r.change) for r in second.collect()} == {("a", "w", "added"), ("a", "x", "removed")}
