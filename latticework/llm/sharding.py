@@ -2,7 +2,9 @@
 
 The atomic groups lie on a line of fixed length: all documents whose text digest begins alike are one group, so equal texts are never
 split. The smallest shard capacity that a greedy pass can meet is found by binary search over the ordered group sizes, and the line is
-cut there. Of the cuts that keep within that capacity, the ones next to an even split are taken.
+cut there. A group above the capacity, such as a third of all rows with one text, is a shard of its own; so the search goes on below the
+size of such a group, and the other shards are as even as without it. Of the cuts that keep within the capacity those next to an even
+split of what is left are taken.
 
 The line has CELLS groups whatever the input, so the search runs over one bounded row; documents themselves never meet in one task.
 Slots come from counts per (group, salt): a group with many rows, such as thousands of copies, is salted by its own count.
@@ -34,36 +36,35 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def smallest_capacity(sizes: str, shards: int) -> str:
-    """SQL for the least capacity with which a greedy pass over the array of sizes needs at most so many shards."""
+def smallest_capacity(shards: int) -> str:
+    """SQL for the least capacity with which a greedy pass over sizes needs at most so many shards; a larger group fills a shard."""
+    middle = "(acc.lo + (acc.hi - acc.lo) div 2)"
     needed = (
-        f"aggregate({sizes}, named_struct('used', 0L, 'n', 1L), "
-        "(a, x) -> if(a.used + x <= acc.lo + (acc.hi - acc.lo) div 2, named_struct('used', a.used + x, 'n', a.n), named_struct('used', x, 'n', a.n + 1L)), a -> a.n)"
+        "aggregate(sizes, named_struct('used', 0L, 'n', 1L), "
+        f"(a, x) -> if(a.used + least(x, {middle}) <= {middle}, named_struct('used', a.used + least(x, {middle}), 'n', a.n), named_struct('used', least(x, {middle}), 'n', a.n + 1L)), a -> a.n)"
     )
     return (
-        "aggregate(sequence(1, 63), "
-        f"named_struct('lo', greatest(array_max({sizes}), total div {shards}), 'hi', total), "
-        f"(acc, i) -> if(acc.lo >= acc.hi, acc, if({needed} <= {shards}L, "
-        "named_struct('lo', acc.lo, 'hi', acc.lo + (acc.hi - acc.lo) div 2), "
-        "named_struct('lo', acc.lo + (acc.hi - acc.lo) div 2 + 1L, 'hi', acc.hi))), acc -> acc.hi)"
+        "aggregate(sequence(1, 63), named_struct('lo', least(total, 1L), 'hi', total), "
+        f"(acc, i) -> if(acc.lo >= acc.hi, acc, if({needed} <= {shards}L, named_struct('lo', acc.lo, 'hi', {middle}), named_struct('lo', {middle} + 1L, 'hi', acc.hi))), acc -> acc.hi)"
     )
 
 
-def cut_points(line: DataFrame, shards: int) -> tuple[list[int], int]:
-    """The totals at which the first shards - 1 shards end, and the capacity: shards numbers.
+def cut_points(line: DataFrame, shards: int, capacity: int) -> list[int]:
+    """The totals at which the first shards - 1 shards end.
 
-    line is one row: sizes of all CELLS groups in order, through (0 and the running totals) and total. Each step's few numbers go
-    into the next as literals; as columns Spark would work them out again inside the loops.
+    line is one row: through (0 and the running totals of all CELLS groups, none counted above the capacity) and total. Each step's few
+    numbers go into the next as literals; as columns Spark would work them out again inside the loops.
     """
-    capacity = line.select(F.expr(smallest_capacity("sizes", shards))).first()[0]
     earliest = f"reverse(aggregate(sequence(1, {shards - 1}), array(total), (a, k) -> array_append(a, array_min(filter(through, x -> x >= element_at(a, -1) - {capacity}L)))))"
     floors = ", ".join(f"{x}L" for x in line.select(F.expr(earliest)).first()[0])
+    # Each cut is the feasible one next to an even split of what is left, behind the cut before if there is any such.
     nearest = (
         f"aggregate(sequence(1, {shards - 1}), array(0L), (a, k) -> array_append(a, "
         f"aggregate(filter(through, x -> x >= element_at(array({floors}), k) and x >= element_at(a, -1) and x - element_at(a, -1) <= {capacity}L), cast(null as bigint), "
-        f"(b, x) -> if(b is null or abs(x * {shards} - total * k) < abs(b * {shards} - total * k), x, b))))"
+        "(b, x) -> if(b is null or b = element_at(a, -1) or "
+        f"abs((x - element_at(a, -1)) * ({shards + 1} - k) - (total - element_at(a, -1))) < abs((b - element_at(a, -1)) * ({shards + 1} - k) - (total - element_at(a, -1))), x, b))))"
     )
-    return line.select(F.expr(nearest)).first()[0][1:], capacity
+    return line.select(F.expr(nearest)).first()[0][1:]
 
 
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
@@ -71,29 +72,26 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     rows = stored(measured(docs), "shard-rows")
     cells = rows.groupBy("cell").agg(F.sum("size").alias("cell_size"), F.count("*").alias("cell_rows"))
     every = rows.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell"))
-    by_cell = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    filled = (
-        every.join(F.broadcast(cells), "cell", "left")  # CELLS rows at most
-        .select("cell", F.coalesce("cell_size", F.lit(0)).alias("cell_size"), F.coalesce("cell_rows", F.lit(0)).alias("cell_rows"))
-        .withColumn("cell_through", F.sum("cell_size").over(by_cell))
-    )
-    filled = stored(filled, "shard-cells")
-    line = filled.agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("cell", "cell_size"))), lambda c: c["cell_size"]).alias("sizes"),
-        F.concat(F.array(F.lit(0).cast("long")), F.array_sort(F.collect_list("cell_through"))).alias("through"),
-        F.sum("cell_size").alias("total"),
-    )
-    ends, capacity = cut_points(stored(line, "shard-line"), shards)
+    filled = every.join(F.broadcast(cells), "cell", "left")  # CELLS rows at most
+    filled = stored(filled.select("cell", F.coalesce("cell_size", F.lit(0)).alias("cell_size"), F.coalesce("cell_rows", F.lit(0)).alias("cell_rows")), "shard-cells")
+    in_order = F.array_sort(F.collect_list(F.struct("cell", "cell_size")))
+    sizes = stored(filled.agg(F.transform(in_order, lambda c: c["cell_size"]).alias("sizes"), F.sum("cell_size").alias("total"), F.max("cell_size").alias("largest")), "shard-sizes")
+    capacity, largest = sizes.select(F.expr(smallest_capacity(shards)), "largest").first()
+    counted = F.least("cell_size", F.lit(capacity))
+    filled = filled.withColumn("cell_through", F.sum(counted).over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)))
+    line = filled.agg(F.concat(F.array(F.lit(0).cast("long")), F.array_sort(F.collect_list("cell_through"))).alias("through"), F.max("cell_through").alias("total"))
+    ends = cut_points(stored(line, "shard-line"), shards, capacity)
     placed = filled.select(
         "cell",
         sum((F.col("cell_through") > e).cast("int") for e in ends).alias("shard"),
         F.greatest(F.lit(1), F.ceil(F.col("cell_rows") / ROWS_PER_BUCKET)).alias("salts"),
     )
+    placed = stored(placed, "shard-cuts")
     salted = rows.join(F.broadcast(placed), "cell").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")))  # CELLS rows
     counts = salted.groupBy("shard", "cell", "salt").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("shard").orderBy("cell", "salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("cell", "salt", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
     inside = Window.partitionBy("cell", "salt").orderBy("doc_id", "text_crc32", "size")
     return salted.join(starts, ["cell", "salt"]).select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("start") + F.row_number().over(inside) - 1).alias("slot"), F.lit(capacity).alias("capacity")
+        "doc_id", "size", "text_crc32", "shard", (F.col("start") + F.row_number().over(inside) - 1).alias("slot"), F.lit(max(capacity, largest)).alias("capacity")
     )

@@ -93,3 +93,15 @@ def test_shards(spark, seed, per_salt, monkeypatch):
 def test_no_rows_and_one_row(spark):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [(r.size, r.slot) for r in sharding.shard(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [(1, 0)]
+
+
+def test_one_huge_group_leaves_the_others_even(spark):
+    rng = random.Random(8)
+    rows = [(k, "".join(rng.choice("abcdef ") for _ in range(40))) for k in range(3000)] + [(5000 + k, "the same text again and again and again") for k in range(1500)]
+    sizes = Counter()
+    for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        sizes[r.shard] += r.size
+    huge = 1500 * 40
+    assert len(sizes) == 8 and max(sizes.values()) < huge + 2000
+    others = sorted(sizes.values())[:-1]
+    assert others[-1] < 1.6 * others[1]
