@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latticework.llm.common import new_dir, stored
+from latticework.llm.common import lowest, new_dir, stored
 from latticework.llm.encoding import BATCH, encoder, texts_of
 from latticework.llm.files import attempt_name, made_folder, opened, read_range, write_all
 
@@ -57,7 +57,7 @@ def train(docs: DataFrame, tokenizer: str) -> bytes:
             data = b""
         yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["dictionary"])
 
-    chosen = docs.where("text is not null").select(F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(DICTIONARY_DOCS)
+    chosen = lowest(docs.select(F.xxhash64("doc_id").alias("h")).distinct(), "h", DICTIONARY_DOCS)
     sample = docs.select("text", F.xxhash64("doc_id").alias("d")).join(F.broadcast(chosen), F.col("d") == F.col("h"), "left_semi").orderBy("d", "text").limit(DICTIONARY_DOCS).select("text")
     found = sample.coalesce(1).mapInArrow(run, "dictionary binary").agg(F.max("dictionary")).first()[0]
     return bytes(found or b"")
