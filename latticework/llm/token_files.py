@@ -24,11 +24,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from latticework.llm.common import lowest, new_dir, stored
 from latticework.llm.encoding import BATCH, encoder, texts_of
-from latticework.llm.files import attempt_name, made_folder, opened, read_range, write_all
+from latticework.llm.files import attempt_name, made_folder, opened, write_all
 
 MAGIC = b"LWTOKENS"
 END_ID = 0
