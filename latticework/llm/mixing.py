@@ -25,11 +25,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 def sized(docs: DataFrame, seed: str) -> DataFrame:
     """doc_id, src, size and the shuffle digest of each row of docs."""
     text = F.coalesce(docs["text"], F.lit(""))
+    key = F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("-"), F.md5(text.cast("binary"))))  # rows without an id by their text
     return docs.select(
         docs["doc_id"].alias("doc_id"),
         docs["source"].alias("src"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(docs["doc_id"].cast("string"), F.lit("-")))).alias("dig"),
+        F.md5(F.concat(F.lit(seed + ":"), key)).alias("dig"),
     )
 
 
@@ -63,7 +64,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epo
 
 
 def finish_bucket(finish, buckets: int):
-    """A monotone bucket of the finish time: even up to 2, in octaves beyond, where only sources far above their target have copies."""
+    """A monotone bucket of the finish time: even up to 2, in octaves beyond, where only sources far above their target have copies.
+
+    Null without a finish time, as in a source without words; schedule() deals such rows, which add nothing to any sum, out by hash.
+    """
     return F.when(finish < 2, F.floor(finish * buckets)).otherwise(F.lit(2 * buckets) + F.floor(F.log2(finish / 2) * buckets)).cast("long")
 
 
@@ -93,7 +97,7 @@ def schedule(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: in
         placed.join(small(t, n_sources), placed["src"].eqNullSafe(t["t_src"]))
         .withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(max_epochs))))
         .withColumn("finish", F.when(F.col("target") > 0, (F.col("through") + (F.col("epoch") - 1) * F.col("source_size")) / F.col("target")))
-        .withColumn("slice", finish_bucket(F.col("finish"), 16**digits))
+        .withColumn("slice", F.coalesce(finish_bucket(F.col("finish"), 16**digits), -1 - F.pmod(F.xxhash64("src", "bucket", "place"), F.lit(16**digits))))
         .select("src", "bucket", "place", "doc_id", "size", "source_size", "budget", "target", "epoch", "finish", "slice")
     )
     copies = stored(copies, "mix-copies")
@@ -101,7 +105,7 @@ def schedule(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: in
     slices = by_slice.select(F.col("slice").alias("s_slice"), F.coalesce(F.sum("in_slice").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s_base"))
     in_order = Window.partitionBy("slice").orderBy("finish", F.col("src").isNull(), "src", "place", "bucket", "epoch").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        copies.join(slices, copies["slice"].eqNullSafe(slices["s_slice"]))
+        copies.join(slices, copies["slice"] == slices["s_slice"])
         .withColumn("position", F.col("s_base") + F.sum("size").over(in_order))
         .withColumn("kept", F.col("finish").isNotNull() & (F.col("position") <= F.col("budget")))
         .drop("s_slice", "s_base", "slice", "budget")

@@ -53,7 +53,7 @@ from d left join hit using (doc) left join ids using (doc)
 OP5 = r"""
 with sizes as (
   select doc_id, source as src, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
-         md5('mix:' || coalesce(cast(doc_id as varchar), '-')) as dig
+         md5('mix:' || coalesce(cast(doc_id as varchar), '-' || md5(coalesce(text, '')))) as dig
   from documents),
 by_src as (
   select src, cast(sum(size) as bigint) as source_size,
