@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.storage import stored
-
 BEFORE, AFTER = 15, 14
 
 
@@ -38,6 +36,3 @@ def yaml_field(text: Column, field: str) -> Column:
     """The value of ``field:`` on a line, a list's dash before it allowed; null on other lines, empty without a value."""
     pattern = rf"^\s*(?:-\s+)?{field}:\s*(.*?)\s*$"
     return F.when(text.rlike(pattern), F.regexp_replace(F.regexp_replace(F.regexp_extract(text, pattern, 1), r"\s+#.*$", ""), r"""^["']|["']$""", ""))
-
-
-__all__ = ["context", "indent", "lines_of", "stored", "yaml_field"]
