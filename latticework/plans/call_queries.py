@@ -154,7 +154,7 @@ _CALLED = "select o_orderkey as caller, concat('NATION_', cast(o_custkey % 40 as
 _NAMED = "select n_nationkey + 100 as id, 3 as kind, n_name as name from {nation}"
 
 
-@query(f"with c as ({_o(_CALLED)}), n as ({_o(_NAMED)}), f as (select name, min(id) as target from n group by name) select distinct caller as src, target as dst from c join f using (name) where caller <> target")
+@query(f"with c as ({_o(_CALLED)}), n as ({_o(_NAMED)}), f as (select name, min(id) as target from n group by name) select distinct caller as src, cast(target as bigint) as dst from c join f using (name) where caller <> target")
 def call_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.resolve_calls(_frame(spark, sf_dir, _CALLED), _frame(spark, sf_dir, _NAMED)).select("src", F.col("dst").cast("long").alias("dst"))
 

@@ -2,8 +2,9 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
-from latticework.model import ALL_EDGES, CODE_EDGES, SERVICE_EDGES, EdgeKind, NodeKind, kinds_of, mask_of
+from latticework.model import ALL_EDGES, CODE_EDGES, SERVICE_EDGES, EdgeKind, NodeKind, in_mask, kinds_of, mask_of
 from latticework.operators import graph, traverse
 
 EDGES = "src bigint, dst bigint, kind int, confidence int, flags int"
@@ -138,3 +139,9 @@ def test_resolves_passes(spark):
     assert pairs(traverse.resolves_forward(e, variables)) == {(100, 200), (100, 201)}
     assert {r.caller for r in traverse.callers(e, 1).collect()} == {2, 4}
     assert ALL_EDGES == 0x7FF
+
+
+def test_masks_reach_the_scan(spark, tmp_path):
+    edges(spark, [(0, 1, 1), (1, 2, 3)]).write.parquet(f"{tmp_path}/e")
+    plan = spark.read.parquet(f"{tmp_path}/e").where(in_mask(F.col("kind"), SERVICE_EDGES)).select("src", "dst")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(kind, [3,4,5])]" in plan and "ReadSchema: struct<src:bigint,dst:bigint,kind:int>" in plan
