@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.functions import classify, paths, predicates
-from latticework.model import EdgeKind, NodeKind
+from latticework.model import SUB_QUEUE, SUB_WEBSOCKET, EdgeKind, NodeKind
 from latticework.operators import calls as C
 from latticework.operators import graph, matching, provenance, search, sinks, traverse
 from latticework.sources import code, files, infra, store
@@ -40,18 +40,23 @@ def build(spark: SparkSession, trees: DataFrame, registry: DataFrame | None = No
     routes, http, reads, grpc, rpcs = code.http_routes(found), code.http_calls(found), code.env_reads(found), code.grpc_sites(found), infra.protos(manifests)
 
     test_flag = F.when(predicates.test_path(F.col("file")), 16).otherwise(0)
+    links = code.connections(found)
+    sockets, queues, resources = links.where("kind like 'websocket%'"), links.where("kind like 'kafka%'"), links.where("kind in ('database', 'redis', 'sqs', 's3')")
     parts = [
         _nodes(found.where("fact in ('function', 'method', 'type')"), NodeKind.SYMBOL, F.col("name")),
         _nodes(routes, NodeKind.ENDPOINT, F.trim(F.concat_ws(" ", "method", "path"))),
         _nodes(http, NodeKind.ENDPOINT, F.col("url")),
         _nodes(reads, NodeKind.RESOURCE, F.col("var_name")),
         _nodes(rpcs, NodeKind.ENDPOINT, F.col("name")),
+        _nodes(sockets, NodeKind.ENDPOINT, F.col("name"), SUB_WEBSOCKET),
+        _nodes(queues, NodeKind.ENDPOINT, F.col("name"), SUB_QUEUE),
+        _nodes(resources, NodeKind.RESOURCE, F.col("name")),
         _nodes(infra.proto_services(manifests).withColumn("line", F.lit(1)), NodeKind.SURFACE, F.col("fqn")),
     ]
     raw = parts[0]
     for p in parts[1:]:
         raw = raw.unionByName(p)
-    keyed = raw.groupBy("kind", "name", "file", "repo").agg(F.min("line").alias("line"), F.first("sub_kind").alias("sub_kind"), F.min("line").alias("first"))
+    keyed = raw.groupBy("kind", "name", "file", "repo").agg(F.min("line").alias("line"), F.max("sub_kind").alias("sub_kind"))
     symbols = parts[0].groupBy(*_KEY).agg(F.first("sub_kind").alias("sub_kind"))
     ids = stored(symbols.unionByName(keyed.where(F.col("kind") != int(NodeKind.SYMBOL)).select(*symbols.columns)).withColumn("id", F.xxhash64(*_KEY)), "node-keys")
     numbers = graph.numbered(ids)
@@ -75,6 +80,11 @@ def build(spark: SparkSession, trees: DataFrame, registry: DataFrame | None = No
         .unionByName(from_owner(routes.withColumn("line", F.col("site")), F.trim(F.concat_ws(" ", "method", "path")), NodeKind.ENDPOINT, EdgeKind.EXPOSES))
         .unionByName(from_owner(http, F.col("url"), NodeKind.ENDPOINT, EdgeKind.CONNECTS))
         .unionByName(from_owner(reads, F.col("var_name"), NodeKind.RESOURCE, EdgeKind.CONFIGURES))
+        .unionByName(from_owner(sockets.where("kind = 'websocket_server'"), F.col("name"), NodeKind.ENDPOINT, EdgeKind.EXPOSES))
+        .unionByName(from_owner(sockets.where("kind = 'websocket_client'"), F.col("name"), NodeKind.ENDPOINT, EdgeKind.CONNECTS))
+        .unionByName(from_owner(queues.where("kind = 'kafka_producer'"), F.col("name"), NodeKind.ENDPOINT, EdgeKind.PUBLISHES))
+        .unionByName(from_owner(queues.where("kind = 'kafka_consumer'"), F.col("name"), NodeKind.ENDPOINT, EdgeKind.SUBSCRIBES))
+        .unionByName(from_owner(resources, F.col("name"), NodeKind.RESOURCE, EdgeKind.CONNECTS))
         .withColumns({"confidence": F.lit(255), "flags": F.lit(0)})
     )
 
@@ -82,6 +92,7 @@ def build(spark: SparkSession, trees: DataFrame, registry: DataFrame | None = No
     bindings = infra.env_bindings(yaml)
     matches = matching.resolution(
         grpc=_sites(matching.match_protos(clients, servers, infra.proto_services(manifests).select("service_name"))),
+        websocket=_sites(matching.match_websockets(sockets.where("kind = 'websocket_client'").select("repo", F.col("name").alias("url"), "file", "line"), sockets.where("kind = 'websocket_server'").select("repo", F.col("name").alias("path"), "file", "line"))),
         rest=_sites(matching.match_rest(http.select("repo", "path", "method", "file", "line"), routes.select("repo", "path", "method", "file", "line"))),
         k8s=_bound(matching.match_env_services(reads.select("repo", "var_name", "file", "line"), bindings.select("var_name", "value", "file", "line", "deployment_name"))),
         image=_used(matching.match_images(infra.dockerfiles(routed.where("route = 'infra' and file rlike '(^|/)Dockerfile'")).select("repo", "image_ref", "file"), infra.container_images(yaml))),

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.functions.classify import grpc_service
+from latticework.functions.classify import call_kind, grpc_service
 
 FACTS = "repo string, file string, language string, fact string, name string, receiver string, value string, arg2 string, line int, end_line int, owner string"
 _COLUMNS = [f.split()[0] for f in FACTS.split(", ")]
@@ -236,3 +236,22 @@ def nextjs_routes(found: DataFrame) -> DataFrame:
     path = F.regexp_extract("file", r"(?:^|/)app(/api(?:/.+)?)/route\.[jt]sx?$", 1)
     rows = found.where("fact = 'function'").withColumn("path", path).where((F.col("path") != "") & F.col("name").isin("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS"))
     return rows.select("repo", "file", "line", F.concat_ws(" ", "name", "path").alias("name"))
+
+
+def connections(found: DataFrame) -> DataFrame:
+    """repo, file, line, owner, kind and name of calls that open or use a connection which is no HTTP or gRPC call.
+
+    Queues are named by their topic, WebSockets by their path or ``websocket``, and other resources by their address or else by the
+    receiver or method that stands for them.
+    """
+    kind = call_kind(F.coalesce("receiver", F.lit("")), F.col("name"), F.coalesce("value", F.lit("")))
+    kinds = ("websocket_client", "websocket_server", "kafka_producer", "kafka_consumer", "database", "redis", "sqs", "s3")
+    rows = found.where("fact = 'call'").withColumn("kind", kind).where(F.col("kind").isin(*kinds))
+    decorated = found.where("fact = 'decorator' and value like '/%' and lower(name) rlike '(^|[.])websocket$'").withColumn("kind", F.lit("websocket_server"))
+    rows = rows.unionByName(decorated)
+    ws_path = F.regexp_extract("value", r"^(?:wss?://[^/]*)?(/.*)$", 1)
+    by_socket = F.coalesce(F.nullif(ws_path, F.lit("")), F.lit("websocket"))
+    topic = F.when(~F.col("kind").startswith("kafka") | (F.coalesce("value", F.lit("")) != ""), F.coalesce(F.nullif("value", F.lit("")), F.substring_index("receiver", ".", -1), F.col("name")))
+    name = F.when(F.col("kind").startswith("websocket"), by_socket).otherwise(topic)
+    site = F.when(F.col("fact") == "decorator", F.col("end_line")).otherwise(F.col("line"))
+    return rows.withColumn("name", name).where("name is not null").select("repo", "file", site.alias("line"), "owner", "kind", "name")

@@ -31,13 +31,29 @@ def items():
 def serve():
     pb.add_OrdersServicer_to_server(None, None)
 """
+QUEUES = """
+def push():
+    kafka_producer.send("orders-topic", 1)
+    redis.from_url("redis://cache:6379")
+
+def pull():
+    consumer.subscribe("orders-topic")
+
+def chat():
+    websocket.connect("ws://gw/ws/chat")
+"""
+GATEWAY = """
+@app.websocket("/ws/chat")
+def ws():
+    pass
+"""
 SHARED = "def load():\n    return 1\n"
 YAML = 'kind: Deployment\nmetadata:\n  name: web\nspec:\n  containers:\n  - name: c\n    image: gcr.io/p/orders:2\n    env:\n    - name: ORDERS_URL\n      value: "http://orders:80"\n'
 
 
 @pytest.fixture(scope="module")
 def built(spark):
-    rows = [("web", "client.py", CLIENT), ("orders", "server.py", SERVER), ("orders", "lib.py", SHARED), ("web", "k8s.yaml", YAML), ("orders", "Dockerfile", "FROM gcr.io/p/orders:1\n"), ("orders", "o.proto", "package shop;\nservice Orders {\n rpc List (A) returns (B);\n}\n")]
+    rows = [("web", "client.py", CLIENT), ("orders", "server.py", SERVER), ("orders", "lib.py", SHARED), ("web", "queues.py", QUEUES), ("gw", "gateway.py", GATEWAY), ("web", "k8s.yaml", YAML), ("orders", "Dockerfile", "FROM gcr.io/p/orders:1\n"), ("orders", "o.proto", "package shop;\nservice Orders {\n rpc List (A) returns (B);\n}\n")]
     return commands.build(spark, spark.createDataFrame(rows, "repo string, file string, content string"))
 
 
@@ -47,24 +63,26 @@ def test_graph(built):
     assert sorted(names) == list(range(len(names)))
     edges = {(names[r.src][1], names[r.dst][1], r.kind) for r in built.edges.collect()}
     assert {("main", "fetch", 1), ("main", "stub", 1), ("items", "load", 1), ("fetch", "ORDERS_URL", 6), ("fetch", "http://orders.shop/v1/items", 8), ("http://orders.shop/v1/items", "ORDERS_URL", 7)} <= edges
-    assert ("stub", "serve", 3) in edges
+    assert ("stub", "serve", 3) in edges and ("chat", "ws", 3) in edges
+    assert {("push", "orders-topic", 9), ("pull", "orders-topic", 10), ("push", "redis://cache:6379", 8), ("chat", "/ws/chat", 8), ("ws", "/ws/chat", 4)} <= edges
+    assert {(r.name, r.sub_kind) for r in built.nodes.where("kind = 4 and sub_kind > 0").collect()} == {("orders-topic", 3), ("/ws/chat", 1)}
 
 
 def test_matches(built):
     got = {(r.type, r.client_file, r.server_file, round(r.confidence, 2)) for r in built.matches.collect()}
-    assert got == {("grpc", "client.py", "server.py", 0.95), ("rest", "client.py", "server.py", 0.85), ("k8s", "client.py", "k8s.yaml", 0.95), ("image", "k8s.yaml", "Dockerfile", 0.95)}
+    assert got == {("grpc", "client.py", "server.py", 0.95), ("rest", "client.py", "server.py", 0.85), ("k8s", "client.py", "k8s.yaml", 0.95), ("image", "k8s.yaml", "Dockerfile", 0.95), ("websocket", "queues.py", "gateway.py", 0.75)}
 
 
 def test_report_and_filters(built):
     rows = commands.network(built).collect()
-    assert {r.section for r in rows} == {"connects", "exposes", "calls", "cross_repo"}
+    assert {r.section for r in rows} == {"connects", "exposes", "messages", "calls", "cross_repo"}
     assert any(r.section == "connects" and r.file == "client.py" for r in rows)
     assert {r.direction for r in commands.network(built, direction="inbound").collect()} == {"inbound"}
     assert all("http" in r.kind for r in commands.network(built, kind="http").collect())
     remote = built.calls.withColumns({"file": F.lit("[other] x.py"), "line": F.lit(1)}).limit(1)
     more = commands.network(built, remote=remote, include_all=True).where("file like '[other]%'")
     assert more.count() == 1
-    assert {r.section for r in commands.network_json(commands.network(built)).collect()} == {"connects", "exposes", "calls", "cross_repo"}
+    assert {r.section for r in commands.network_json(commands.network(built)).collect()} == {"connects", "exposes", "messages", "calls", "cross_repo"}
     assert commands.network(built, service="fetch").where("section = 'connects'").count() <= 1
 
 
