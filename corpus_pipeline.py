@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from latticework.llm import decontam, mixing, ngram_join, quality, sharding
 from latticework.llm.common import small, stored, table
 
+#: Words of a shingle and the similarity in per cent of the second stage; op10's contract values bind that query alone.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep."""
@@ -24,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones stays: that of the smallest doc_id, and of repeated rows one. Empty ones all stay."""
-    found = ngram_join.similar_components(docs)
+    found = ngram_join.similar_components(docs, size=NEAR_SHINGLE, percent=NEAR_PERCENT)
     gone = found.where("key is not null and component_id is not null and doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_lw_gone_id")).distinct()
     gone = stored(gone, "pipeline-gone")
     left = docs.join(small(gone, gone.count()), docs["doc_id"] == F.col("_lw_gone_id"), "left_anti")

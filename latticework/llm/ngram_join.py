@@ -4,7 +4,7 @@ A document's set holds the 64-bit hashes of its distinct word shingles. Two sets
 shingle: the first ``n - ceil(similarity * n) + 1`` of n in one global order. That order is by rarity, so most documents have a prefix
 of shingles that nobody else has, and drop out exactly:
 
-1. Every document emits its shingles of the lowest LOW_SHARE of hashes. Which of those stand in one set only is then known exactly, and
+1. Every document emits its shingles of the lowest LOW_SHARE of hashes (or twice the share that a prefix takes, if that is more). Which of those stand in one set only is then known exactly, and
    a set with a whole prefix of them can have no partner.
 2. The others are read again and emit all shingles; those shared with another such set are ranked by rarity, and only sets that still
    have shared shingles in their prefix stay. Sets that share one there fall into one cluster.
@@ -337,7 +337,8 @@ def _between(large: DataFrame, found: DataFrame, percent: int, block: int) -> Da
 
 def similar_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK_SETS) -> DataFrame:
     """doc_id, n_shingles, key (of the set) and component_id, the smallest doc_id that links of the similarity reach, one row per row of docs."""
-    base = stored(sets_of(docs, size, LOW_SHARE), "join-sets")
+    share = min(1.0, max(LOW_SHARE, 2 * (100 - percent) / 100))  # below a prefix's share no set would drop out
+    base = stored(sets_of(docs, size, share), "join-sets")
     sets = stored(candidate_sets(docs, base, size, percent), "join-candidates")
     found = links(sets, stored(clusters_of(sets), "join-clusters"), percent, block)
     roots = stored(components(found).select(F.col("node").alias("key"), "root"), "join-roots")
