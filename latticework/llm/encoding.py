@@ -4,12 +4,18 @@ Byte-level BPE cuts a text into pieces before it merges bytes. A single space be
 piece, and so does a single line break. So a text may be cut there, and the ids of a unit are those that the library gives for it alone:
 a worker encodes each distinct unit once, as long as it remembers it. Most of the library's time goes into keeping track of offsets while
 it cuts and maps bytes; units of plain Latin letters, digits and signs are cut and mapped here, and the library's model encodes the pieces.
+
+That holds for one configuration, plain byte-level BPE, which the tokenizer's file must state (cuts_like_byte_level()). With any other, and
+for texts that hold a string of an added token (such as an end mark), the library encodes whole texts, at its defaults but for
+add_special_tokens=False.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +29,8 @@ CACHED_UNITS = 800_000
 BATCH = 3000
 #: Units that the library encodes at once.
 ENCODED_UNITS = 10_000
+#: Characters of whole texts that the library encodes at once, unless one text has more.
+ENCODED_CHARS = 1 << 20
 
 _SPACE = r"[\s\v\x1c-\x1f\x85\p{Z}]"
 #: Texts that are not cut by plain replacement: white space next to white space, or the mark of the first unit.
@@ -78,6 +86,19 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
+def cuts_like_byte_level(config: dict) -> bool:
+    """Whether a tokenizer's configuration is the one that units and pieces are cut for."""
+    cut, model = config.get("pre_tokenizer") or {}, config.get("model") or {}
+    return (
+        cut.get("type") == "ByteLevel"
+        and not cut.get("add_prefix_space", True)
+        and cut.get("use_regex", True)
+        and model.get("type") == "BPE"
+        and not any(config.get(k) for k in ("normalizer", "truncation", "padding"))
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    )
+
+
 class Encoder:
     """Remembers units as an Arrow array: known[i] has the ids flat[ends[i]:ends[i + 1]], and was met[i] times."""
 
@@ -86,9 +107,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        config = json.loads(self.tokenizer.to_str())
+        self.by_units = cuts_like_byte_level(config)
+        added = [re.escape(t["content"]) for t in config["added_tokens"]]
+        self.added = "|".join(added) or None
         self.pieces = Tokenizer(self.tokenizer.model)
-        self.line_break = int(self._ids("\n")[0])
+        self.line_break = int(self._ids("\n")[0]) if self.by_units else -1
         self.known = pa.array([], pa.string())
         self.flat, self.ends, self.met = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
@@ -158,18 +182,55 @@ class Encoder:
         before = np.cumsum(lengths) - lengths
         return self.flat[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
 
+    def _whole(self, texts: pa.Array) -> list[int]:
+        """Places of the texts that the library must see whole."""
+        if not self.by_units:
+            return list(range(len(texts)))
+        if self.added is None:
+            return []
+        return np.flatnonzero(pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)).tolist()
+
+    def _encoded(self, texts: pa.Array, places: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """The place and the ids of each of these texts, encoded whole."""
+        part, size = [], 0
+        for k in [*places, None]:
+            text = texts[k].as_py() if k is not None else ""
+            if part and (k is None or size + len(text) > ENCODED_CHARS):
+                found = self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
+                yield from ((at, np.array(e.ids, np.uint32)) for (at, _), e in zip(part, found, strict=True))
+                part, size = [], 0
+            if k is not None:
+                part.append((k, text))
+                size += len(text)
+
+    def _by_units(self, texts: pa.Array, whole: list[int]) -> pa.Array:
+        """The texts, empty where the library sees them whole."""
+        if not whole:
+            return texts
+        blank = np.zeros(len(texts), bool)
+        blank[whole] = True
+        return pc.if_else(pa.array(blank), "", texts)
+
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """The number of ids of each text; texts is an Arrow array of strings without nulls."""
-        n, starts, ends = self._numbered(texts)
+        whole = self._whole(texts)
+        n, starts, ends = self._numbered(self._by_units(texts, whole))
         through = np.concatenate([[0], np.cumsum((self.ends[1:] - self.ends[:-1])[n])])
-        return through[ends] - through[starts]
+        out = through[ends] - through[starts]
+        for k, ids in self._encoded(texts, whole):
+            out[k] = len(ids)
+        return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
-        n, starts, ends = self._numbered(texts)
+        whole = self._whole(texts)
+        n, starts, ends = self._numbered(self._by_units(texts, whole))
         ids = self._gathered(n)
         through = np.concatenate([[0], np.cumsum((self.ends[1:] - self.ends[:-1])[n])])
-        return [ids[a:b] for a, b in zip(through[starts], through[ends], strict=True)]
+        out = [ids[a:b] for a, b in zip(through[starts], through[ends], strict=True)]
+        for k, found in self._encoded(texts, whole):
+            out[k] = found
+        return out
 
 
 def texts_of(batch: pa.RecordBatch, k: int) -> pa.Array:

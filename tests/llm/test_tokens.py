@@ -12,7 +12,7 @@ from latticework.llm import encoding, token_counts, token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
-PLAIN.encode_special_tokens = True
+OTHER = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def plain(text):
@@ -31,6 +31,22 @@ def test_units_encode_like_the_whole_text(p):
     assert code.lengths(pa.array([text])).tolist() == [len(plain(text))]
 
 
+@settings(max_examples=150, deadline=None)
+@given(parts)
+def test_another_splitter_goes_to_the_library(p):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text, code = "".join(p), encoding.encoder(path)
+    assert not code.by_units and encoding.encoder(PATH).by_units
+    want = OTHER.encode(text, add_special_tokens=False).ids
+    assert code.encode(pa.array([text, "a"]))[0].tolist() == want
+    assert code.lengths(pa.array(["a", text])).tolist()[1] == len(want)
+
+
+def test_added_tokens_are_one_id():
+    text = "a <|endoftext|> b"
+    assert encoding.encoder(PATH).encode(pa.array([text, "x"]))[0].tolist() == plain(text) == [64, 220, 50256, 275]
+
+
 def test_forgetting(monkeypatch):
     monkeypatch.setattr(encoding, "CACHED_UNITS", 20)
     code = encoding.Encoder(PATH)
