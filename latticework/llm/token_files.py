@@ -4,8 +4,8 @@ A file is: MAGIC, the dictionary's sha256 (zeros without one), the id width in b
 index's offset and size (8 bytes each, little-endian). The index is an Arrow stream with a row per document, in order: doc_id, offset and
 size of its frame, n_tokens. The dictionary lies beside the files in ``dictionary-<sha256>``.
 
-The dictionary is trained on the serialized ids of DICTIONARY_DOCS documents at most, those of the smallest hashes; the data are
-lossless whatever it holds. Files hold documents in ascending doc_id order, nulls first, and the files follow each other by number.
+The dictionary is trained on the serialized ids of DICTIONARY_DOCS documents and DICTIONARY_TEXT_BYTES of text at most, those of the
+smallest hashes; the data are lossless whatever it holds. Files hold documents in ascending doc_id order, nulls first, and the files follow each other by number.
 
 Defined cases: a null text counts as empty, so it has the end id alone; repeated rows and null doc_ids are each written; ties in doc_id go
 by text; an empty table gives no files and an empty result; extra columns are ignored.
@@ -33,6 +33,8 @@ MAGIC = b"LWTOKENS"
 END_ID = 0
 LEVEL = 3
 DICTIONARY_DOCS, DICTIONARY_BYTES = 1000, 64 << 10
+#: Bytes of the texts that the dictionary is trained on at most.
+DICTIONARY_TEXT_BYTES = 32 << 20
 NO_DICTIONARY = bytes(32)
 
 MANIFEST = "file string, number int, n_docs long, n_tokens long, first_id string, last_id string, dictionary string"
@@ -56,8 +58,13 @@ def train(docs: DataFrame, tokenizer: str) -> bytes:
             data = b""
         yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["dictionary"])
 
-    chosen = lowest(docs.select(F.xxhash64("doc_id").alias("h")).distinct(), "h", DICTIONARY_DOCS)
-    sample = docs.select("text", F.xxhash64("doc_id").alias("d")).join(F.broadcast(chosen), F.col("d") == F.col("h"), "left_semi").orderBy("d", "text").limit(DICTIONARY_DOCS).select("text")
+    sized = docs.select(F.xxhash64("doc_id").alias("d"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    first = lowest(sized, "d", DICTIONARY_DOCS)  # DICTIONARY_DOCS rows of two numbers, so the window's single task is bounded
+    first = first.withColumn("through", F.sum("n").over(Window.orderBy("d", "n").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("through") <= DICTIONARY_TEXT_BYTES)
+    chosen = [(r.d, r.n) for r in first.select("d", "n").collect()]
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(sorted(set(chosen)), "c long, m int"))
+    rows = docs.select("text", F.xxhash64("doc_id").alias("d"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    sample = rows.join(wanted, (F.col("d") == F.col("c")) & (F.col("n") == F.col("m")), "left_semi").orderBy("d", "n", "text").limit(len(chosen)).select("text")
     found = sample.coalesce(1).mapInArrow(run, "dictionary binary").agg(F.max("dictionary")).first()[0]
     return bytes(found or b"")
 
