@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from latticework.llm import common, mixing, sharding
+from latticework.llm import mixing, sharding
 from latticework.llm.oracles import OP5
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -22,8 +22,9 @@ def corpus(seed, n=300):
 
 @pytest.mark.parametrize("seed,per_bucket", [(1, 20000), (2, 5)])
 def test_mix_equals_sql(spark, seed, per_bucket, monkeypatch):
-    monkeypatch.setattr(mixing, "hex_digits", lambda rows: common.hex_digits(rows, per_bucket))
-    rows = corpus(seed)
+    monkeypatch.setattr(mixing, "PER_BUCKET", per_bucket)
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    rows = corpus(seed) + [(None, "one text without an id", "a")] * 40 + [(7, "repeated", "b"), (7, "another text", "b")] * 3 + [(None, " ", "c")] * 20
     documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})  # noqa: F841  the SQL reads it
     want = duckdb.sql(OP5).fetchall()
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, size int, taken int").repartition(3)
@@ -39,7 +40,7 @@ def test_mix_equals_sql(spark, seed, per_bucket, monkeypatch):
 
 
 def test_targets_share_the_budget(spark):
-    sizes = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1000), ("d", 0), (None, 50)], "src string, size long")
+    sizes = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("c", 500, 2), ("d", 0, 1), (None, 50, 1)], "src string, size long, rows long")
     got = {r.src: r for r in mixing.source_targets(sizes).collect()}
     assert got["a"].target == got["b"].target == 3 and got["d"].target == 0
     assert sum(r.target for r in got.values()) == pytest.approx(1052)
@@ -64,7 +65,8 @@ def greedy(sizes, capacity):
 
 @pytest.mark.parametrize("seed,per_salt", [(3, 20000), (4, 7)])
 def test_shards(spark, seed, per_salt, monkeypatch):
-    monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", per_salt)
+    monkeypatch.setattr(sharding, "ROWS_PER_SALT", per_salt)
+    monkeypatch.setattr(sharding, "CELLS_PER_SHARD", 2 if per_salt == 7 else 512)
     rng = random.Random(seed)
     rows = [(k, "".join(rng.choice("abcé\n") for _ in range(int(rng.paretovariate(1) * 20)))) for k in range(500)]
     rows += [(1000 + k, "copies of one text " * 20) for k in range(60)] + [(None, None), (2000, None), (2001, ""), (3, rows[3][1])]
@@ -74,8 +76,8 @@ def test_shards(spark, seed, per_salt, monkeypatch):
     assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((str(d), len(t) + 1, zlib.crc32(t)) for d, t in data)
     line = Counter()
     for _, t in data:
-        line[int(hashlib.md5(t).hexdigest()[: sharding.CELL_DIGITS], 16)] += len(t) + 1
-    sizes = [line[c] for c in range(sharding.CELLS)]
+        line[hashlib.md5(t).hexdigest()] += len(t) + 1
+    sizes = [line[c] for c in sorted(line)]
     capacity = got[0].capacity
     assert greedy(sizes, capacity) <= 8 < greedy(sizes, capacity - 1)
     shard_size, slots, shard_of = Counter(), defaultdict(list), {}
@@ -85,11 +87,42 @@ def test_shards(spark, seed, per_salt, monkeypatch):
         assert shard_of.setdefault((r.text_crc32, r.size), r.shard) == r.shard
     assert max(shard_size.values()) <= capacity
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    cells = {(zlib.crc32(t), len(t) + 1): int(hashlib.md5(t).hexdigest()[: sharding.CELL_DIGITS], 16) for _, t in data}
-    in_order = sorted((cells[k], s) for k, s in shard_of.items())
+    order = {(zlib.crc32(t), len(t) + 1): hashlib.md5(t).hexdigest() for _, t in data}
+    in_order = sorted((order[k], s) for k, s in shard_of.items())
     assert [s for _, s in in_order] == sorted(s for _, s in in_order)
 
 
+def least_capacity(sizes, shards):
+    """The least capacity of a greedy pass in which a group above it fills a shard alone."""
+
+    def needed(c):
+        n, used = 1, 0
+        for s in (min(s, c) for s in sizes):
+            n, used = (n + 1, s) if used + s > c else (n, used + s)
+        return n
+
+    low, high = 1, sum(sizes)
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if needed(middle) <= shards else (middle + 1, high)
+    return high
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_capacity_is_that_of_single_groups(spark, seed, monkeypatch):
+    monkeypatch.setattr(sharding, "CELLS_PER_SHARD", [2, 8, 32][seed % 3])
+    rng = random.Random(seed)
+    rows = [(k, f"{k} " + "x" * int(rng.paretovariate(1) * 10)) for k in range(700)] + [(None, "one hot text " * 5)] * [0, 30, 2000][seed // 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    line = Counter()
+    for _, t in rows:
+        line[hashlib.md5(t.encode()).hexdigest()] += len(t) + 1
+    sizes = [line[c] for c in sorted(line)]
+    shards = [5, 8][seed % 2]
+    measured = sharding.stored(sharding.measured(df), "rows")
+    assert sharding.searched(measured, shards)[1] == least_capacity(sizes, shards)
+
+
 def test_no_rows_and_one_row(spark):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [(r.size, r.slot) for r in sharding.shard(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [(1, 0)]
