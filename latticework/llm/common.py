@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 from latticework import storage
 from latticework.storage import new_dir, small, stored
 
-__all__ = ["ascii_lower", "give_back", "hex_bucket", "hex_digits", "lowest", "new_dir", "small", "stored", "table"]
+__all__ = ["ascii_lower", "digest_bucket", "give_back", "lowest", "new_dir", "small", "stored", "table"]
 
 #: Rows up to which a counted table may be broadcast.
 BROADCAST_ROWS = storage.BROADCAST_ROWS
-#: Rows that one task of a salted or bucketed step should get.
-ROWS_PER_BUCKET = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,13 +46,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def hex_digits(rows: int, per_bucket: int = ROWS_PER_BUCKET, least: int = 1, most: int = 7) -> int:
-    """Leading hex digits of a digest that spread so many rows over buckets of about per_bucket."""
-    digits = least
-    while digits < most and rows > per_bucket * 16**digits:
-        digits += 1
-    return digits
-
-
-def hex_bucket(digest: Column, digits: int) -> Column:
-    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
+def digest_bucket(digest: Column, buckets: Column) -> Column:
+    """The bucket of a hex digest, of so many of about even size that lie on the digests' line in order."""
+    return F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("long")

@@ -53,8 +53,11 @@ from d left join hit using (doc) left join ids using (doc)
 OP5 = r"""
 with sizes as (
   select doc_id, source as src, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
-         md5('mix:' || coalesce(cast(doc_id as varchar), '-' || md5(coalesce(text, '')))) as dig
+         md5('mix:' || coalesce(cast(doc_id as varchar), '-') || ':' || md5(coalesce(text, ''))) as row_dig
   from documents),
+spread as (
+  select *, case when which = 0 then row_dig else md5(row_dig || ':' || which) end as dig
+  from (select *, row_number() over (partition by src, row_dig, doc_id, size) - 1 as which from sizes)),
 by_src as (
   select src, cast(sum(size) as bigint) as source_size,
          case (row_number() over (order by src is null, src) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as weight
@@ -75,7 +78,7 @@ placed as (
   select s.*, t.source_size, t.budget, t.target,
          sum(s.size) over (partition by s.src order by s.dig, s.doc_id, s.size rows unbounded preceding) as through,
          row_number() over (partition by s.src order by s.dig, s.doc_id, s.size) as place
-  from sizes s join targets t on s.src is not distinct from t.src),
+  from spread s join targets t on s.src is not distinct from t.src),
 copies as (
   select p.*, e.epoch, case when target > 0 then cast(through + (e.epoch - 1) * source_size as double) / target end as finish
   from placed p cross join (values (1), (2), (3)) e(epoch)),
