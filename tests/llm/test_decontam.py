@@ -44,12 +44,49 @@ def test_equals_brute_force(spark):
     assert D.contamination(df, bench.limit(0)).where("n_hit > 0 or contaminated").count() == 0
 
 
-def test_proximity(spark):
+def near_by_brute_force(words, sought, window=13, slop=4):
+    """'exact', 'near' or None of one item in one document."""
+    least = min(window, len(sought))
+
+    def reached(width):
+        for band in range(-len(sought), len(words) + 1):
+            run = 0
+            for q, w in enumerate(sought):
+                there = any(0 <= band + j + q < len(words) and words[band + j + q] == w for j in range(width))
+                run = run + 1 if there else 0
+                if run >= least:
+                    return True
+        return False
+
+    return "exact" if reached(1) else "near" if reached(slop) else None
+
+
+def test_proximity(spark, tmp_path):
+    rng = random.Random(9)
     item = [f"w{k}" for k in range(30)]
-    near = item[:9] + ["x"] + item[9:18] + ["y"] + item[18:]
-    docs = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(near)), (3, " ".join(reversed(item)))], "doc_id long, text string")
-    docs = docs.coalesce(1)
-    index = D.build_index(docs, spark.createDataFrame([(9, " ".join(item))], "item_id long, text string"))
-    kinds = lambda window: {r.doc_id: r.kind for r in D.phrases(index, window=window).join(index.lengths, "doc").collect()}
-    assert kinds(13) == {1: "exact", 2: "near"}
-    assert kinds(8) == {1: "exact", 2: "exact"}
+    short = [f"s{k}" for k in range(24)]
+    docs = []
+    for p in range(9):  # all offsets within the slop, and beyond
+        before = [f"b{k}" for k in range(p)]
+        docs.append(before + item[:9] + ["x"] + item[9:18] + ["y"] + item[18:])
+        docs.append(before + short[:12] + ["x"] + short[12:])
+        docs.append(before + item[:9] + ["x"] * 5 + item[9:])
+        docs.append(before + short[:6] + short[8:])
+    docs += [item, list(reversed(item)), []]
+    for _ in range(60):
+        text = list(rng.choice([item, short]))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(text))
+            text[at : at + rng.randrange(2)] = [rng.choice(["x", "w3", "s5"])] * rng.randrange(3)
+        docs.append(text)
+    asked = [("i", item), ("s", short), ("two", ["w3", "s5"])]
+    frame = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in asked], "item_id string, text string")
+    index = D.build_index(frame, f"{tmp_path}/index")
+    for window in (13, 8):
+        want = {(k, i): kind for k, d in enumerate(docs) for i, t in asked if (kind := near_by_brute_force(d, t, window))}
+        got = {(r.doc_id, r.item_id): r.kind for r in D.phrases(index, D.Asked(bench), window).join(index.lengths, "doc").collect()}
+        assert got == want and {"exact", "near"} <= set(want.values())
+    again = D.Index.opened(spark, f"{tmp_path}/index")
+    assert again.occurring.count() == sum(map(len, docs))
+    assert D.matches(frame, bench).where("kind = 'near' and n_covered >= 13").count() > 0
