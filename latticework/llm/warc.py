@@ -19,6 +19,7 @@ import bisect
 import hashlib
 import io
 import json
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.llm.common import new_dir, small, stored
@@ -36,6 +37,8 @@ from latticework.llm.files import attempt_name, made_folder, opened, read_range
 
 LEAST_BYTES = 0
 BLOCK_LINES = 300
+#: Bytes of an archive file that one task reads in one go.
+STRETCH = 1 << 20
 DATE = "2000-01-01T00:00:00Z"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:capture:"
@@ -113,17 +116,48 @@ def parsed(data: bytes) -> tuple[int | None, str | None, int, str, str, int | No
 
 
 def planned(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """page_id, url, html, copy (among repeated rows), response (whether it is one) and first (the page_id that a revisit refers to)."""
-    text = F.coalesce(pages["html"], F.lit("")).cast("binary")
-    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), text.alias("html"))
+    """A row per record: page_id, url, html (null for a revisit), sha, size, copy (among rows alike in page_id and payload) and first.
+
+    first is a struct of the page_id that a revisit refers to, null for a response. The plan is made on digests; payloads are shuffled only
+    if the list of records that are more than a plain response is too long to broadcast, and then by page, digest and size together, so
+    that no payload, however common, is a key of its own. A revisit's payload goes nowhere.
+    """
+    key = ["page_id", "sha", "size"]
+    html = F.coalesce(pages["html"], F.lit("")).cast("binary")
+    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), html.alias("html"))
     rows = rows.withColumn("sha", F.sha1("html")).withColumn("size", F.octet_length("html"))
-    shared = rows.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("size") >= least_bytes)).drop("n")
-    shared = stored(shared, "warc-shared")
-    again = shared.select(F.col("sha").alias("f_sha"), F.col("size").alias("f_size"), "first", F.lit(True).alias("is_shared"))
-    numbered = rows.withColumn("copy", F.row_number().over(Window.partitionBy("sha", "size", "page_id").orderBy("url")))
-    out = numbered.join(small(again, shared.count()), (F.col("sha") == F.col("f_sha")) & (F.col("size") == F.col("f_size")), "left")
-    response = F.col("is_shared").isNull() | ((F.col("copy") == 1) & F.col("page_id").eqNullSafe(F.col("first")))
-    return out.select("page_id", "url", "html", "copy", response.alias("response"), "first")
+    keys = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("url").alias("url"))
+    keys = stored(keys, "warc-keys")
+    groups = keys.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.sum("n").alias("all")).where((F.col("all") > 1) & (F.col("size") >= least_bytes))
+    groups = stored(groups.select(F.col("sha").alias("f_sha"), F.col("size").alias("f_size"), "first"), "warc-shared")
+    met = keys.join(small(groups, groups.count()), (F.col("sha") == F.col("f_sha")) & (F.col("size") == F.col("f_size")), "left")
+    leads = F.col("f_sha").isNull() | F.col("page_id").eqNullSafe(F.col("first"))  # whether the first copy is a response
+    special = met.where(~leads | (F.col("n") > 1)).select(*key, "n", "url", "first", F.col("f_sha").isNotNull().alias("shared"), leads.alias("leads"))
+    special = stored(special, "warc-special")
+    n_special = special.count()
+
+    def alike(other: DataFrame) -> Column:
+        return rows["page_id"].eqNullSafe(other["page_id"]) & (rows["sha"] == other["sha"]) & (rows["size"] == other["size"])
+
+    plain = rows.join(small(special, n_special), alike(special), "left_anti")
+    response = F.lit(None).cast("struct<page:bigint>")
+    plain = plain.select("page_id", "url", "html", "sha", "size", F.lit(1).cast("long").alias("copy"), response.alias("first"))
+    revisit = F.struct(F.col("first").alias("page"))
+    single = special.where("n = 1").select("page_id", "url", F.lit(None).cast("binary").alias("html"), "sha", "size", F.lit(1).cast("long").alias("copy"), revisit.alias("first"))
+    repeated = stored(special.where("n > 1"), "warc-repeated")
+    n_repeated = repeated.count()
+    if not n_repeated:
+        return plain.unionByName(single)
+    # Rows alike in page_id and payload: counted by url, numbered, and given a payload where they are responses.
+    urls = rows.join(small(repeated, n_repeated), alike(repeated), "left_semi").groupBy(*key, "url").agg(F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy(*key).orderBy("url").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = urls.withColumn("before", before).withColumn("copy", F.explode(F.expr("sequence(before + 1, before + m)"))).drop("before", "m")
+    payloads = rows.join(small(repeated, n_repeated), alike(repeated), "left_semi").groupBy(*key).agg(F.first("html").alias("html"))
+    about = repeated.drop("n", "url").join(payloads, [repeated[c].eqNullSafe(payloads[c]) for c in key]).select(*(repeated[c].alias(f"a_{c}") for c in key), "first", "shared", "leads", "html")
+    again = each.join(about, [F.col(c).eqNullSafe(F.col(f"a_{c}")) for c in key])
+    is_response = ~F.col("shared") | (F.col("leads") & (F.col("copy") == 1))
+    again = again.select("page_id", "url", F.when(is_response, F.col("html")).alias("html"), "sha", "size", "copy", F.when(~is_response, revisit).alias("first"))
+    return plain.unionByName(single).unionByName(again)
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -135,22 +169,22 @@ def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> Data
         at = 0
         for batch in batches:
             rows = []
-            for page_id, url, html, copy, response, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, html, sha, size, copy, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     path = attempt_name(folder, TaskContext.get().partitionId(), "warc.gz")
                     system, where = opened(path)
                     out = system.open_output_stream(where, compression=None)
-                digest = digest32(html)
-                data = _member(record(page_id, copy, url, html, digest, len(html), None if response else (first,)))
+                digest = base64.b32encode(bytes.fromhex(sha)).decode()
+                data = _member(record(page_id, copy, url, html or b"", digest, size, None if first is None else (first["page"],)))
                 out.write(data)
-                rows.append((url_key(url), page_id, "response" if response else "revisit", digest, path, at, len(data)))
+                rows.append((url_key(url), page_id, "response" if first is None else "revisit", digest, path, at, len(data)))
                 at += len(data)
             if rows:
                 yield _rows(rows, CAPTURES)
         if out is not None:
             out.close()
 
-    return stored(planned(pages, least_bytes).mapInArrow(run, CAPTURES), "warc-captures")
+    return stored(planned(pages, least_bytes).select("page_id", "url", "html", "sha", "size", "copy", "first").mapInArrow(run, CAPTURES), "warc-captures")
 
 
 _ARROW = {"string": pa.string(), "long": pa.int64()}
@@ -178,6 +212,11 @@ def _number(page_id: int | None) -> int:
     return -(1 << 63) if page_id is None else page_id
 
 
+def index_files(captures: int) -> int:
+    """Index files for so many captures: as their square root, like the entries of a file's directory, so that no level outgrows the others."""
+    return max(1, math.isqrt(captures) // 16)
+
+
 def write_index(captures: DataFrame, folder: str, lines: int = BLOCK_LINES) -> TopLevel:
     """Writes the index files into folder. The top level, a row per file, comes to the driver."""
     made_folder(folder)
@@ -217,7 +256,8 @@ def write_index(captures: DataFrame, folder: str, lines: int = BLOCK_LINES) -> T
         yield _rows([(number, path, *ends[0], *ends[-1])], fields)
 
     columns = [c.split()[0] for c in CAPTURES.split(", ")]
-    ordered = captures.select(*columns).repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", "page_id", "file", "offset")
+    files = index_files(captures.count())
+    ordered = captures.select(*columns).repartitionByRange(files, "url_key", "page_id").sortWithinPartitions("url_key", "page_id", "file", "offset")
     top = stored(ordered.mapInArrow(run, fields), "warc-top").orderBy("number").collect()  # a row for each partition
     return TopLevel([(r.first_key, r.first_id) for r in top], [(r.last_key, r.last_id) for r in top], [r.file for r in top])
 
@@ -278,11 +318,12 @@ def lookup(top: TopLevel, wanted: DataFrame) -> DataFrame:
     keys = wanted.select("url", *([wanted["page_id"].cast("long").alias("page_id")] if single else [])).distinct()
     keys = keys.mapInArrow(keyed, "url_key string" + ", page_id long" * single).distinct()
     order = ["url_key", "page_id"][: 1 + single]
-    return keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, CAPTURES)
+    return keys.repartitionByRange(max(1, len(top.files)), *order).sortWithinPartitions(*order).mapInArrow(run, CAPTURES)
 
 
-def read(captures: DataFrame) -> DataFrame:
-    """RECORDS of the captures, by range reads."""
+def read(captures: DataFrame, tasks: int | None = None) -> DataFrame:
+    """RECORDS of the captures, by range reads. tasks: among how many they are dealt, by stretches of the files; Spark would join rows as small
+    as these into few tasks, as it can't know what they make a task read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, stream = None, io.BytesIO()
@@ -297,7 +338,10 @@ def read(captures: DataFrame) -> DataFrame:
             yield _rows(rows, RECORDS)
         stream.close()
 
-    return captures.select("file", "offset", "size").repartition("file").sortWithinPartitions("file", "offset").mapInArrow(run, RECORDS)
+    places = captures.select("file", "offset", "size")
+    by = ["file", F.floor(F.col("offset") / STRETCH)]
+    dealt = places.repartition(*by) if tasks is None else places.repartition(tasks, *by)
+    return dealt.sortWithinPartitions("file", "offset").mapInArrow(run, RECORDS)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -305,4 +349,5 @@ def round_trip(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     spark = pages.sparkSession
     captures = write(pages, new_dir(spark, "warc"), least_bytes)
     top = write_index(captures, new_dir(spark, "warc-index"))
-    return read(lookup(top, pages.select("url", "page_id")))
+    total = captures.agg(F.sum("size")).first()[0] or 0
+    return read(lookup(top, pages.select("url", "page_id")), max(1, -(-total // (4 * STRETCH))))
