@@ -1,7 +1,8 @@
 """Byte automata: regular expressions compiled by subset construction and minimisation into transition arrays.
 
 Expressions are ASCII: literals, escapes, classes, groups, ``(?i:...)`` for ASCII letters in either case, ``|``, ``?``, ``*``, ``+`` and
-``{m}``, ``{m,}``, ``{m,n}``. They match bytes; bytes above 127 only match negated classes.
+``{m}``, ``{m,}``, ``{m,n}``. They match bytes; bytes above 127 only match negated classes and the dot. What else regular expressions may
+have (``\\d`` and its like, anchors, lazy repeats, lookarounds, references) is a ValueError.
 """
 
 from __future__ import annotations
@@ -42,19 +43,29 @@ class _Parser:
         return ("seq", parts)
 
     def repeated(self, node):
-        while (c := self.peek()) and c in "?*+{":
-            self.take()
-            if c == "{":
-                body = self.text[self.at : self.text.index("}", self.at)]
-                self.at += len(body) + 1
-                low, comma, high = body.partition(",")
-                least, most = int(low), (int(high) if high else None) if comma else int(low)
-            else:
-                least, most = {"?": (0, 1), "*": (0, None), "+": (1, None)}[c]
-            copies = [node] * least
-            copies += [("star", node)] if most is None else [("alt", [node, ("seq", [])])] * (most - least)
-            node = ("seq", copies)
-        return node
+        c = self.peek()
+        if not c or c not in "?*+{":
+            return node
+        self.take()
+        if c == "{":
+            body, closed, _ = self.text[self.at :].partition("}")
+            self.at += len(body) + 1
+            low, comma, high = body.partition(",")
+            if not closed or not low.isdigit() or (high and not high.isdigit()):
+                self.refuse("a repeat without numbers")
+            least, most = int(low), (int(high) if high else None) if comma else int(low)
+            if most is not None and most < least:
+                self.refuse("a repeat of no number")
+        else:
+            least, most = {"?": (0, 1), "*": (0, None), "+": (1, None)}[c]
+        if self.peek() and self.peek() in "?*+{":
+            self.refuse("a repeat of a repeat")
+        copies = [node] * least
+        copies += [("star", node)] if most is None else [("alt", [node, ("seq", [])])] * (most - least)
+        return ("seq", copies)
+
+    def refuse(self, what: str):
+        raise ValueError(f"{what} at {self.at} in {self.text!r}")
 
     def atom(self, fold: bool):
         c = self.take()
@@ -63,6 +74,8 @@ class _Parser:
                 self.at, fold = self.at + 3, True
             elif self.text.startswith("?:", self.at):
                 self.at += 2
+            elif self.peek() == "?":
+                self.refuse("an extension of groups")
             node = self.alternatives(fold)
             if self.take() != ")":
                 raise ValueError(f"no end of group in {self.text!r}")
@@ -71,14 +84,26 @@ class _Parser:
             return ("set", self.char_class(fold))
         if c == ".":
             return ("set", ANY & ~(1 << 10))
-        return ("set", self.folded(1 << (self.escape() if c == "\\" else ord(c)), fold))
+        if c in "^$*+?{":
+            self.refuse(f"{c!r}, an anchor or nothing to repeat,")
+        return ("set", self.folded(1 << (self.escape() if c == "\\" else self.plain(c)), fold))
+
+    def plain(self, c: str) -> int:
+        if not c or ord(c) > 127:
+            self.refuse("no ASCII character")
+        return ord(c)
 
     def escape(self) -> int:
         c = self.take()
         if c == "x":
             self.at += 2
-            return int(self.text[self.at - 2 : self.at], 16)
-        return ord({"n": "\n", "r": "\r", "t": "\t"}.get(c, c))
+            try:
+                return int(self.text[self.at - 2 : self.at], 16)
+            except ValueError:
+                self.refuse("an escape without its digits")
+        if c.isalnum() and c not in "nrt":
+            self.refuse(f"the escape \\{c}")
+        return self.plain({"n": "\n", "r": "\r", "t": "\t"}.get(c, c))
 
     def folded(self, bits: int, fold: bool) -> int:
         if fold:
@@ -93,11 +118,13 @@ class _Parser:
         bits, first = 0, True
         while self.peek() != "]" or first:
             first = False
-            low = self.escape() if (c := self.take()) == "\\" else ord(c)
+            low = self.escape() if (c := self.take()) == "\\" else self.plain(c)
             high = low
-            if self.peek() == "-" and self.text[self.at + 1] != "]":
+            if self.peek() == "-" and self.text[self.at + 1 : self.at + 2] != "]":
                 self.take()
-                high = self.escape() if (c := self.take()) == "\\" else ord(c)
+                high = self.escape() if (c := self.take()) == "\\" else self.plain(c)
+            if high < low:
+                self.refuse("a range that ends before it begins")
             bits |= (1 << high + 1) - (1 << low)
         self.take()
         bits = self.folded(bits, fold)

@@ -1,9 +1,10 @@
 """Secret scans with one combined deterministic automaton.
 
-All rules' expressions are compiled together into one minimal automaton, and each text's bytes pass through it once. Where the
-automaton reports the end of a match, the rule's mirrored automaton finds the start and its own automaton the full length; matches of
-one rule don't overlap, the leftmost first. A rule's ``confirm`` expression must match a span whole, else it is dropped, but it has
-still used up its text.
+All rules' expressions are compiled together into one minimal automaton, and each text's bytes pass through it once. Only where it
+reports the end of a match of some rule does more happen: the rule's mirrored automaton runs back from the last end and marks every byte at
+which a match begins, and from the leftmost of them on its own automaton finds each match's full length. So matches of one rule are the
+leftmost ones, each the longest from where it begins, and don't overlap; an empty match is none. A rule's ``confirm`` expression must match
+a span whole, else it is dropped, but it has still used up its text.
 
 Spans are counted in code points, end exclusive. Defined cases: a null text counts as empty; texts of any length are scanned whole;
 repeated rows and null doc_ids give a row each; an empty table gives an empty result; extra columns are ignored.
@@ -56,7 +57,7 @@ class Scanner:
         trees = [parsed(r.expression) for r in rules]
         self.all = compiled(trees, anywhere=True)
         self.forward = [compiled([t]) for t in trees]
-        self.backward = [compiled([mirrored(t)]) for t in trees]
+        self.backward = [compiled([mirrored(t)], anywhere=True) for t in trees]
         self.confirm = [compiled([parsed(r.confirm)]) if r.confirm else None for r in rules]
         # Rows that name the next row itself; a step into an accepting state leads to hit and stays there.
         n = self.all.n_classes
@@ -70,8 +71,7 @@ class Scanner:
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule, end) in bytes, in order."""
-        found: list[tuple[int, int, int]] = []
-        used = [0] * len(self.forward)
+        last = [0] * len(self.forward)
         rows, hit, step, n, accepts = self.rows, self.hit, self.all.step, self.all.n_classes, self.all.accepts
         state, seen = self.all.start, data.translate(self.all.classes)
         for at in range(0, len(seen), BLOCK):
@@ -85,20 +85,27 @@ class Scanner:
             for end, c in enumerate(block, at + 1):
                 state = step[state * n + c]
                 if ended := accepts[state]:
-                    for k in range(len(used)):
-                        if ended >> k & 1 and end > used[k]:
-                            self._resolve(data, k, end, used, found)
-        return sorted(found)
-
-    def _resolve(self, data: bytes, k: int, end: int, used: list[int], found: list[tuple[int, int, int]]) -> None:
-        start = end - _longest(self.backward[k], reversed(data[used[k] : end]))
-        if start == end:  # it began in text that an earlier match has used
-            return
-        end = start + _longest(self.forward[k], memoryview(data)[start:])
-        used[k] = end
-        check = self.confirm[k]
-        if check is None or _longest(check, data[start:end]) == end - start:
-            found.append((start, k, end))
+                    for k in range(len(last)):
+                        if ended >> k & 1:
+                            last[k] = end
+        return sorted((start, k, end) for k, stop in enumerate(last) if stop for start, end in self._matches(data, k, stop))
+
+    def _matches(self, data: bytes, k: int, stop: int) -> Iterator[tuple[int, int]]:
+        """The confirmed matches of a rule, none of which ends after stop."""
+        back = self.backward[k]
+        state, step, n, accepts = back.start, back.step, back.n_classes, back.accepts
+        starts = []
+        for at, c in zip(range(stop - 1, -1, -1), reversed(data[:stop].translate(back.classes)), strict=True):
+            state = step[state * n + c]
+            if accepts[state]:
+                starts.append(at)
+        used, view, check = 0, memoryview(data), self.confirm[k]
+        for start in reversed(starts):
+            if start < used:
+                continue
+            used = start + _longest(self.forward[k], view[start:])
+            if used > start and (check is None or _longest(check, view[start:used]) == used - start):
+                yield start, used
 
 
 def _longest(automaton: Automaton, data) -> int:

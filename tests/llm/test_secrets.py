@@ -4,7 +4,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from latticework.llm.secrets import BASE_RULES, RULES, digest, found_in, scan, scanner
+from latticework.llm.automaton import parsed
+from latticework.llm.secrets import BASE_RULES, RULES, Rule, digest, found_in, scan, scanner
 
 # re.IGNORECASE without ASCII would let letters outside A-Z through
 KEYS = "password|passwd|secret|token|api_?key"
@@ -44,6 +45,48 @@ def test_spans_across_block_borders():
         assert [s[:3] for s in found_in(text.encode(), BASE_RULES)] == brute(text)
 
 
+atoms = st.sampled_from(["a", "b", "c", "x", ".", "[ab]", "[^a]", "(?i:c)", r"\x61"])
+expressions = st.recursive(
+    atoms,
+    lambda inner: st.one_of(
+        st.tuples(inner, inner).map("".join),
+        st.tuples(inner, inner).map(lambda p: f"({p[0]}|{p[1]})"),
+        st.tuples(inner, st.sampled_from(["?", "*", "+", "{2}", "{1,3}", "{2,}"])).map(lambda p: f"(?:{p[0]}){p[1]}"),
+    ),
+    max_leaves=7,
+)
+
+
+def leftmost_longest(expression, text):
+    whole, out, at = re.compile(expression), [], 0
+    while at < len(text):
+        ends = [e for e in range(at + 1, len(text) + 1) if whole.fullmatch(text, at, e)]
+        if ends:
+            out.append((at, ends[-1]))
+            at = ends[-1]
+        else:
+            at += 1
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(expressions, min_size=1, max_size=2), st.text("abcxC", max_size=14))
+def test_any_rules_find_the_leftmost_longest_matches(rules, text):
+    got = found_in(text.encode(), tuple(Rule(str(k), e) for k, e in enumerate(rules)))
+    assert sorted((k, s, e) for k, s, e, _ in got) == sorted((str(k), *m) for k, e in enumerate(rules) for m in leftmost_longest(e, text))
+
+
+def test_a_match_that_begins_before_one_that_ends_earlier():
+    assert [s[:3] for s in found_in(b"zzaxcxxxbz", (Rule("k", "axcxxxb|c"),))] == [("k", 2, 9)]
+
+
+@pytest.mark.parametrize("expression", [r"\d+", r"\w", r"\bx", "^a", "a$", "a+?", "a**", "(?=a)", r"(a)\1", "a{,3}", "a{3,1}", "[z-a]", "é", "a{2", "(a", "a)", "*a", "[a", r"\xg1", "\\"])
+def test_other_syntax_is_refused(expression):
+    with pytest.raises((ValueError, TypeError, IndexError)) as found:
+        parsed(expression)
+    assert found.type is ValueError
+
+
 def test_automaton_is_small():
     assert scanner(RULES).all.n_states < 2000
 
