@@ -2,7 +2,8 @@
 
 A text is cut into sentences, each is normalised, and those that a licence is known to use become identifiers. Ordered licence rules, each
 a sequence of identifiers, are then matched against the sequences that a document has. All of it is done row by row in built-in functions:
-no shuffle, and no join, since the sentences and rules are fixed and few.
+no shuffle, and no join, since the sentences and rules are fixed and few. They are made from the texts in license_texts: a text's sentences
+are its rule.
 
 A text is read twice: with each line break ending a sentence, as notices stand, and with single line breaks as spaces, as wrapped licences stand.
 A rule matches where its identifiers stand next to one another among the known sentences of either reading; unknown sentences may lie
@@ -14,85 +15,47 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.common import ascii_lower
-
-# Sentences of public licences and notices, as normalised() leaves them.
-SENTENCES = {
-    "mit-notice": "released under the mit license",
-    "mit-licensed": "licensed under the mit license",
-    "mit-name": "the mit license mit",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "mit-keep": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "mit-liability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
-    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "apache-notice": "licensed under the apache license version 2 0",
-    "apache-head": "licensed under the apache license version 2 0 the license",
-    "apache-comply": "you may not use this file except in compliance with the license",
-    "apache-copy": "you may obtain a copy of the license at",
-    "apache-as-is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "apache-see": "see the license for the specific language governing permissions and limitations under the license",
-    "gpl3-notice": "this work is licensed under the gnu general public license version 3",
-    "gpl2-notice": "this work is licensed under the gnu general public license version 2",
-    "lgpl3-notice": "this work is licensed under the gnu lesser general public license version 3",
-    "agpl3-notice": "this work is licensed under the gnu affero general public license version 3",
-    "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "gpl-see": "see the gnu general public license for more details",
-    "bsd-notice": "licensed under the bsd license",
-    "bsd3-notice": "licensed under the bsd 3 clause license",
-    "bsd2-notice": "licensed under the bsd 2 clause license",
-    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-name": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "mpl2-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "cc0-notice": "released under cc0 1 0",
-    "cc-by-notice": "licensed under cc by 4 0",
-    "cc-by-sa-notice": "licensed under cc by sa 4 0",
-    "cc-by-nc-notice": "licensed under cc by nc 4 0",
-    "cc-by-nd-notice": "licensed under cc by nd 4 0",
-    "unlicense": "this is free and unencumbered software released into the public domain",
-    "reserved": "all rights reserved",
-}
-# The licence rules, in order.
-RULES = (
-    ("MIT", ("mit-grant", "mit-keep", "as-is", "mit-liability")),
-    ("BSD-3-Clause", ("bsd-source", "bsd-binary", "bsd-name")),
-    ("BSD-2-Clause", ("bsd-source", "bsd-binary")),
-    ("GPL-3.0-or-later", ("gpl-free", "gpl-hope", "gpl-see")),
-    ("GPL-3.0-or-later", ("gpl-free",)),
-    ("Apache-2.0", ("apache-head", "apache-comply", "apache-copy", "apache-as-is", "apache-see")),
-    ("Apache-2.0", ("apache-head",)),
-    ("ISC", ("isc-grant",)),
-    ("MIT", ("mit-grant",)),
-    ("MIT", ("mit-notice",)),
-    ("MIT", ("mit-licensed",)),
-    ("MIT", ("mit-name",)),
-    ("Apache-2.0", ("apache-notice",)),
-    ("GPL-3.0-only", ("gpl3-notice",)),
-    ("GPL-2.0-only", ("gpl2-notice",)),
-    ("LGPL-3.0-only", ("lgpl3-notice",)),
-    ("AGPL-3.0-only", ("agpl3-notice",)),
-    ("BSD-3-Clause", ("bsd3-notice",)),
-    ("BSD-2-Clause", ("bsd2-notice",)),
-    ("BSD", ("bsd-notice",)),
-    ("MPL-2.0", ("mpl2-notice",)),
-    ("CC0-1.0", ("cc0-notice",)),
-    ("CC-BY-4.0", ("cc-by-notice",)),
-    ("CC-BY-SA-4.0", ("cc-by-sa-notice",)),
-    ("CC-BY-NC-4.0", ("cc-by-nc-notice",)),
-    ("CC-BY-ND-4.0", ("cc-by-nd-notice",)),
-    ("Unlicense", ("unlicense",)),
-    ("Proprietary", ("reserved",)),
-)
+from latticework.llm.license_texts import NOTICES, SPDX, SPDX_MARK
 
 #: A sign that ends a sentence where white space or the text's end follows; within a number or a name it ends nothing.
 STOP = r"[.!?;:]+([\x20\x09-\x0D]|\z)"
 NOISE = r"[^a-z0-9\x01\x0A]+"
 MARK = "\x01"
+#: Words that a sentence of a rule has at least; shorter ones, such as numbers, are no sign of a licence.
+LEAST_WORDS = 3
+
+
+def sentences_of(text: str) -> list[str]:
+    """The normalised sentences of a text without line breaks."""
+    ascii_low = "".join(c.lower() if c.isascii() else c for c in text)
+    parts = re.sub(STOP.replace(r"\z", r"\Z"), MARK, ascii_low).split(MARK)
+    return [x for x in (re.sub(r"[^a-z0-9]+", " ", part).strip() for part in parts) if x]
+
+
+def _tables() -> tuple[dict[str, str], tuple[tuple[str, tuple[str, ...]], ...]]:
+    """Identifiers with their sentences, and the rules in order. A sentence has the name of the first text that holds it and its place there."""
+    names: dict[str, str] = {}
+    rules = []
+    for mark in sentences_of(SPDX_MARK):
+        names[mark] = "spdx"
+    for spdx in SPDX:
+        (name,) = sentences_of(spdx)
+        names[name] = f"id:{spdx}"
+        rules.append((spdx.replace("GPL-2.0", "GPL-2.0-only").replace("GPL-3.0", "GPL-3.0-only") if spdx in ("GPL-2.0", "GPL-3.0") else spdx, ("spdx", names[name])))
+    for licence, text in NOTICES:
+        ids = [names.setdefault(x, f"{licence}:{len(names)}") for x in sentences_of(text) if len(x.split()) >= LEAST_WORDS]
+        rules.append((licence, tuple(ids)))
+    return {name: x for x, name in names.items()}, tuple(dict.fromkeys(rules))
+
+
+SENTENCES, RULES = _tables()
 
 
 #: What parts words within a sentence in the second reading: a space, a single line break, or both.
@@ -111,15 +74,28 @@ def known(clean: Column, sentences: dict[str, str], by_line: bool) -> Column:
     One pass looks for all sentences at once where a sentence begins, and takes those that end where a sentence ends.
     """
     names = F.create_map(*(F.lit(x) for name, s in sentences.items() for x in (s, name)))
-    longest_first = sorted(sentences.values(), key=len, reverse=True)
     if by_line:
-        found = F.regexp_extract_all(clean, F.lit(rf"(?:\A|[\x01\x0A])\x20?({'|'.join(longest_first)})(?=\x20?(?:[\x01\x0A]|\z))"), F.lit(1))
+        one_of = _any_of([s.split() for s in sentences.values()], r"\x20")
+        found = F.regexp_extract_all(clean, F.lit(rf"(?:\A|[\x01\x0A])\x20?({one_of})(?=\x20?(?:[\x01\x0A]|\z))"), F.lit(1))
         return F.transform(found, lambda s: F.element_at(names, s))
-    one_of = "|".join(s.replace(" ", GAP) for s in longest_first)
+    one_of = _any_of([s.split() for s in sentences.values()], GAP)
     found = F.regexp_extract_all(clean, F.lit(rf"(?:\A|\x01|\x0A\x20?\x0A)[\x20\x0A]*({one_of})(?=\x20?(?:\x01|\z|\x0A[\x20\x0A]*(?:\x01|\x0A|\z)))"), F.lit(1))
     return F.transform(found, lambda s: F.element_at(names, F.regexp_replace(s, r"[\x20\x0A]+", " ")))
 
 
+def _any_of(sentences: Sequence[Sequence[str]], gap: str) -> str:
+    """An expression of any of these word sequences, with common beginnings once: the longest that a sentence's end allows."""
+    after: dict[str, list] = {}
+    for words in sentences:
+        after.setdefault(words[0], []).append(words[1:])
+    options = []
+    for word, rests in sorted(after.items()):
+        longer = [r for r in rests if r]
+        more = gap + (_any_of(longer, gap) if len(longer) > 1 else gap.join(longer[0])) if longer else ""
+        options.append(word + (f"(?:{more})?" if longer and len(longer) < len(rests) else more))
+    return options[0] if len(options) == 1 else f"(?:{'|'.join(options)})"
+
+
 def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """Of each row: doc_id, line_ids and text_ids (the identifiers in both readings), licenses (of all matching rules, in their order) and license, the first."""
     clean = docs.select(docs["doc_id"].alias("doc_id"), cleaned(docs["text"]).alias("clean"))

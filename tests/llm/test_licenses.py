@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from latticework.llm import licenses as L
 
@@ -64,3 +65,45 @@ def test_equals_brute_force(spark):
     by = {r.doc_id: r.license for r in got}
     assert [by[k] for k in range(len(TEXTS))] == [None, None, "MIT", "Apache-2.0", "GPL-3.0-only", None, "MIT", "MIT", "MIT", "MIT", "BSD-2-Clause"]
     assert L.scan(df.limit(0)).count() == 0
+
+
+def wrapped(text, width=60):
+    return "\n".join(" * " + line for line in textwrap.wrap(text, width))
+
+
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+GPL2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+LGPL = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+AGPL = GPL.replace("GNU General", "GNU Affero General")
+HOPE = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law'
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
+KNOWN = [
+    ("GPL-3.0-or-later", GPL + "\n\n" + HOPE),
+    ("GPL-2.0-or-later", wrapped(GPL2)),
+    ("GPL-2.0-or-later", GPL2 + " " + HOPE),
+    ("LGPL-2.1-or-later", LGPL),
+    ("AGPL-3.0-or-later", AGPL),
+    ("Apache-2.0", APACHE),
+    ("MPL-2.0", MPL),
+    ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0\npackage main"),
+    ("GPL-2.0-or-later", "/* SPDX-License-Identifier: GPL-2.0-or-later */\nint main() {}"),
+    ("GPL-2.0-only", "# SPDX-License-Identifier: GPL-2.0\n"),
+    ("GPL-2.0-or-later", "Licensed under the GNU GPL version 2 or later."),
+    ("Zlib", wrapped("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:").replace(" * ", "")),
+    ("BSL-1.0", "// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file LICENSE_1_0.txt)"),
+    ("GPL-2.0-only", "The licenses for most software are designed to take away your\nfreedom to share and change it.  By contrast, the GNU General Public\nLicense is intended to guarantee your freedom to share and change free\nsoftware--to make sure the software is free for all its users.  This"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    (None, "The word MIT or Apache-2.0 alone. MIT\nnothing licensed, this program is free software"),
+]
+
+
+def test_public_notices_are_told(spark):
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(KNOWN)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in L.scan(docs).collect()}
+    assert [(got[k], t[:60]) for k, (_, t) in enumerate(KNOWN)] == [(want, t[:60]) for want, t in KNOWN]
+
+
+def test_tables():
+    assert len(L.SENTENCES) > 80 and len(L.RULES) > 90 and all(set(ids) <= set(L.SENTENCES) for _, ids in L.RULES)
+    assert L.sentences_of("Licensed under X, v. 2.0. É: the (end)!") == ["licensed under x v", "2 0", "the end"]
