@@ -6,63 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.functions import classify
+from latticework.operators import registry_table
 from latticework.storage import small
 
 CUSTOM = "pos int, fqn string, category string, addr_arg int, direction string"
 REGISTRY = "fqn string, category string, addr_arg int, direction string"
 
-#: The built-in rules: a library, what its calls are, the argument that holds the address, and the calls. A fuller registry is a
-#: parameter: any table of REGISTRY, such as one read from a file, takes the place of builtin().
-LIBRARIES = (
-    ("net/http", "http_client", 0, ("Get", "Post", "PostForm", "Head", "Client.Do", "Client.Get", "Client.Post")),
-    ("net/http", "http_client", 1, ("NewRequest",)),
-    ("net/http", "http_client", 2, ("NewRequestWithContext",)),
-    ("net/http", "http_server", 0, ("ListenAndServe", "ListenAndServeTLS", "Server.ListenAndServe", "Serve")),
-    ("google.golang.org/grpc", "grpc_client", 0, ("Dial", "NewClient")),
-    ("google.golang.org/grpc", "grpc_client", 1, ("DialContext",)),
-    ("google.golang.org/grpc", "grpc_server", 0, ("NewServer", "Server.Serve")),
-    ("github.com/gorilla/websocket", "websocket_client", 0, ("Dialer.Dial",)),
-    ("github.com/gorilla/websocket", "websocket_server", 0, ("Upgrader.Upgrade",)),
-    ("github.com/segmentio/kafka-go", "kafka_producer", 0, ("NewWriter", "Writer.WriteMessages")),
-    ("github.com/segmentio/kafka-go", "kafka_consumer", 0, ("NewReader", "Reader.ReadMessage")),
-    ("database/sql", "database", 1, ("Open",)),
-    ("github.com/redis/go-redis/v9", "redis", 0, ("NewClient",)),
-    ("net", "tcp_dial", 1, ("Dial", "DialTimeout")),
-    ("net", "tcp_listen", 1, ("Listen",)),
-    ("requests", "http_client", 0, ("get", "post", "put", "delete", "patch", "head")),
-    ("requests", "http_client", 1, ("request",)),
-    ("httpx", "http_client", 0, ("get", "post", "put", "delete", "patch", "AsyncClient.get", "Client.get")),
-    ("urllib.request", "http_client", 0, ("urlopen",)),
-    ("grpc", "grpc_client", 0, ("insecure_channel", "secure_channel", "aio.insecure_channel")),
-    ("grpc", "grpc_server", 0, ("server", "aio.server")),
-    ("websockets", "websocket_client", 0, ("connect",)),
-    ("websockets", "websocket_server", 1, ("serve",)),
-    ("redis", "redis", 0, ("Redis", "StrictRedis", "from_url")),
-    ("psycopg2", "database", 0, ("connect",)),
-    ("sqlalchemy", "database", 0, ("create_engine",)),
-    ("kafka", "kafka_producer", 0, ("KafkaProducer",)),
-    ("kafka", "kafka_consumer", 0, ("KafkaConsumer",)),
-    ("boto3", "s3", 0, ("client", "resource")),
-    ("socket", "tcp_dial", 0, ("create_connection",)),
-    ("axios", "http_client", 0, ("get", "post", "put", "delete", "patch", "request")),
-    ("node-fetch", "http_client", 0, ("default",)),
-    ("@grpc/grpc-js", "grpc_server", 0, ("Server.bindAsync",)),
-    ("ws", "websocket_client", 0, ("WebSocket",)),
-    ("ws", "websocket_server", 0, ("Server", "WebSocketServer")),
-    ("ioredis", "redis", 0, ("Redis",)),
-    ("pg", "database", 0, ("Client", "Pool")),
-    ("java.net", "http_client", 0, ("URL.openConnection", "http.HttpClient.send")),
-    ("java.sql", "database", 0, ("DriverManager.getConnection",)),
-    ("io.grpc", "grpc_client", 0, ("ManagedChannelBuilder.forAddress", "ManagedChannelBuilder.forTarget")),
-)
+ROUTES = "fqn string, pattern_arg int, handler_arg int"
 
 
 def builtin(spark: SparkSession) -> DataFrame:
-    """REGISTRY rows of the built-in libraries."""
-    rows = [(f"{lib}.{name}", category, arg, "inbound" if category in classify.INBOUND_KINDS else "outbound") for lib, category, arg, names in LIBRARIES for name in names]
+    """REGISTRY rows of the built-in libraries. Any table of REGISTRY, such as one read from a file, can take its place."""
+    rows = [row[1:] for row in registry_table.sink_rows(classify.INBOUND_KINDS)]
     return spark.createDataFrame(rows, REGISTRY)
 
 
+def builtin_routes(spark: SparkSession) -> DataFrame:
+    """ROUTES rows of the built-in calls that register routes."""
+    return spark.createDataFrame(registry_table.route_rows(), ROUTES)
+
+
+def route_calls(calls: DataFrame, imports: DataFrame, routes: DataFrame) -> DataFrame:
+    """id, pattern_arg and handler_arg of the calls (as told() takes them) that register a route."""
+    met = candidates(calls, imports).join(F.broadcast(routes), F.col("candidate") == F.col("fqn"))  # a fixed table
+    return met.groupBy("id").agg(F.min(F.struct("turn", "pattern_arg", "handler_arg")).alias("best")).select("id", "best.pattern_arg", "best.handler_arg")
+
+
 def candidates(calls: DataFrame, imports: DataFrame) -> DataFrame:
     """calls (id, file, receiver, callee) with candidate (a full name) and turn, the order in which candidates count.
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tomllib
+import warnings
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Parquet by repo, nodes in the order of kind and name, edges in that of source, kind and target; a header tells version and counts."""
     nodes.select(nodes.columns).sortWithinPartitions("repo", "kind", "name").write.mode("overwrite").partitionBy("repo").parquet(f"{path}/nodes")
     edges.repartitionByRange("src").sortWithinPartitions("src", "kind", "dst").write.mode("overwrite").parquet(f"{path}/edges")
-    n, e = nodes.count(), edges.count()
-    check = edges.agg(F.coalesce(F.bit_xor(F.xxhash64("src", "dst", "kind")), F.lit(0))).first()[0]
+    n = nodes.count()
+    e, check = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("src", "dst", "kind")), F.lit(0))).first()
     nodes.sparkSession.createDataFrame([(VERSION, n, e, check)], "version int, n_nodes bigint, n_edges bigint, checksum bigint").coalesce(1).write.mode("overwrite").json(f"{path}/header")
 
 
@@ -48,31 +50,51 @@ def write_network(calls: DataFrame, path: str) -> None:
 
 
 def load_network(spark: SparkSession, path: str) -> DataFrame:
-    """Calls of JSON files, empty where there are none."""
+    """Calls of JSON files, each an array (on one line or many), an object or a line of JSON for each call; empty where there are none.
+
+    A file that is no JSON, or an array that holds something else than calls, gives no rows.
+    """
+    return _read_calls(spark, path).drop("remote")
+
+
+def _read_calls(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """Calls and remote, the name of their file. Files of lines are split among tasks; those that hold an array, which may span lines, are read whole."""
+    fields = [f.split() for f in model.NETWORK_CALLS.split(", ")]
     try:
-        return spark.read.schema(model.NETWORK_CALLS).json(path)
-    except Exception:
-        return spark.createDataFrame([], model.NETWORK_CALLS)
+        lines = spark.read.options(**options).text(path).select(F.trim(F.regexp_replace("value", r"^\x{FEFF}", "")).alias("value"), F.col("_metadata.file_path").alias("path"))
+    except AnalysisException:  # there is no such path
+        return spark.createDataFrame([], model.NETWORK_CALLS + ", remote string")
+    one = ", ".join(f"{n}:{t}" for n, t in fields)
+    arrays = [r.path for r in lines.where("value like '[%'").select("path").distinct().collect()]  # a path for each network of a remote
+    single = lines.where(~F.col("path").isin(arrays)) if arrays else lines
+    calls = single.select("path", F.from_json(F.rtrim(F.col("value"), F.lit(", ")), f"struct<{one}>").alias("call"))
+    if arrays:
+        whole = spark.read.text(arrays, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"\A\x{FEFF}", "").alias("value"))
+        calls = calls.union(whole.select("path", F.explode(F.from_json("value", f"array<struct<{one}>>")).alias("call")))
+    remote = F.regexp_extract("path", r"([^/]+)\.network\.json", 1).alias("remote")
+    return calls.where("call.file is not null and call.line is not null").select("call.*", remote)
 
 
 def load_remote_networks(spark: SparkSession, folder: str) -> DataFrame:
     """Calls of ``NAME.network.json`` files, their file marked ``[NAME]``; of calls at one place the first counts."""
-    try:
-        rows = spark.read.schema(model.NETWORK_CALLS).option("pathGlobFilter", "*.network.json").option("recursiveFileLookup", "true").json(folder)
-    except Exception:
-        return spark.createDataFrame([], model.NETWORK_CALLS)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.network\.json", 1)
+    rows = _read_calls(spark, folder, pathGlobFilter="*.network.json", recursiveFileLookup="true")
     first = Window.partitionBy("file", "line").orderBy("remote", "seq")
-    rows = rows.withColumn("remote", name).withColumn("place", F.row_number().over(first)).where("place = 1")
+    rows = rows.withColumn("place", F.row_number().over(first)).where("place = 1")
     return rows.withColumn("file", F.concat(F.lit("["), "remote", F.lit("] "), "file")).select(*(f.split()[0] for f in model.NETWORK_CALLS.split(", ")))
 
 
-def custom_rules(spark: SparkSession, text: str) -> DataFrame:
-    """pos, fqn, category, addr_arg and direction of ``[[sinks]]`` in TOML; a rule of an unknown category is left out, and any direction but inbound is outbound."""
+def custom_rules(spark: SparkSession, text: str, strict: bool = False) -> DataFrame:
+    """pos, fqn, category, addr_arg and direction of ``[[sinks]]`` in TOML; a rule of an unknown category is left out, and any direction but inbound is outbound.
+
+    A text that is no TOML has no rules and is warned of, unless strict.
+    """
     try:
         data = tomllib.loads(text)
     except tomllib.TOMLDecodeError as e:
-        raise ConfigError(f"rules cannot be read: {e}") from e
+        if strict:
+            raise ConfigError(f"rules cannot be read: {e}") from e
+        warnings.warn(f"rules cannot be read, so there are none: {e}", stacklevel=2)
+        data = {}
     rows = []
     for pos, r in enumerate(data.get("sinks", [])):
         if r.get("category") in CATEGORIES and r.get("fqn"):

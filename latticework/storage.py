@@ -7,15 +7,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from latticework.errors import ConfigError
 
 #: Rows up to which a counted table may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Bytes of text up to which a counted table with text in it may be.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one in local mode; a cluster's machines would not share that."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConfigError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="latticework-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -37,5 +44,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the limit; beyond it Spark joins by shuffle."""
-    return F.broadcast(df) if rows <= limit else df
+    """df with a broadcast hint if its counted rows and the bytes of its texts are within the limits; beyond them Spark joins by shuffle."""
+    if rows > limit:
+        return df
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType | T.BinaryType)]
+    if texts and rows > BROADCAST_BYTES >> 20:  # a few rows need no look
+        total = df.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0)))).first()[0] or 0
+        return F.broadcast(df) if total <= BROADCAST_BYTES else df
+    return F.broadcast(df)

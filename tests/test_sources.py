@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,7 +128,9 @@ def test_network_files(spark, tmp_path):
         (tmp_path / "r" / f"{name}.network.json").write_text('{"file":"f","line":1,"net_kind":"redis","seq":1}\n')
     assert [r.file for r in store.load_remote_networks(spark, f"file://{tmp_path}/r").collect()] == ["[one] f"]
     with pytest.raises(errors.ConfigError):
-        store.custom_rules(spark, "not toml [")
+        store.custom_rules(spark, "not toml [", strict=True)
+    with pytest.warns(UserWarning):
+        assert store.custom_rules(spark, "not toml [").count() == 0
     assert 'fqn = "x"' in store.rule_template(spark.createDataFrame([("x", "f", 1, 3)], "callee_fqn string, file string, line int, n bigint"))
 
 
@@ -160,3 +164,27 @@ def test_maintained_facts(spark, tmp_path):
     assert {(r.file, r.name) for r in incremental.maintained(spark, f"{tmp_path}/out").collect()} == {("a", "y"), ("a", "w"), ("b", "z"), ("c", "q")}
     second = spark.read.parquet(f"{tmp_path}/out/changes").where("batch = 1")
     assert {(r.file, r.name, r.change) for r in second.collect()} == {("a", "w", "added"), ("a", "x", "removed")}
+
+
+def test_network_files_are_arrays_or_lines_or_nothing(spark, tmp_path):
+    call = lambda k: {"file": f"f{k}.go", "line": k, "net_kind": "http_client", "callee_fqn": "net/http.Get", "address_source": "{}", "confidence": "heuristic", "repo": "r", "seq": k}
+    texts = {
+        "pretty": json.dumps([call(1), call(2)], indent=2),
+        "short": json.dumps([call(3)]),
+        "lines": json.dumps(call(4)) + "\n" + json.dumps(call(5)) + "\n",
+        "bad": "{oops",
+        "other": json.dumps([{"what": 1}], indent=2),
+        "none": "[]",
+        "empty": "",
+        "cut": json.dumps([call(6), call(7)], indent=2)[:-40],
+    }
+    want = {"pretty": [1, 2], "short": [3], "lines": [4, 5]}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.network.json").write_text(text)
+        rows = store.load_network(spark, f"file://{tmp_path}/{name}.network.json").collect()
+        assert sorted(r.line for r in rows) == want.get(name, []), name
+        assert all(r.asDict() == call(r.line) for r in rows)
+    assert store.load_network(spark, f"file://{tmp_path}/missing.json").count() == 0
+    remote = store.load_remote_networks(spark, f"file://{tmp_path}").collect()
+    assert sorted(r.file for r in remote) == ["[lines] f4.go", "[lines] f5.go", "[pretty] f1.go", "[pretty] f2.go", "[short] f3.go"]
+    assert store.load_remote_networks(spark, f"file://{tmp_path}/nowhere").count() == 0
