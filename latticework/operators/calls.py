@@ -153,7 +153,7 @@ def outbound_matches(outbounds: DataFrame, endpoints: DataFrame) -> DataFrame:
     ep = endpoints.select(*(F.col(c).alias(f"e_{c}") for c in ("file", "line", "path", "service", "repo")), F.when(predicates.noise_path(F.col("file")), False).otherwise(True).alias("e_plain"))
     apart = predicates.cross_repo(F.col("repo"), F.col("e_repo"))
     tested = ep.where(F.col("e_plain") & (F.length("e_path") >= 3) & ~F.col("e_path").isin("*", "websocket") & F.startswith("e_path", F.lit("/")))
-    by_path = _contained(out.where("plain"), tested, F.array("address_hint", "callee"), F.col("e_path")).where(apart)
+    by_path = _contained(out.where("plain"), tested, F.array("address_hint", "callee"), F.col("e_path"), "/").where(apart)
     o_svc = classify.grpc_service(F.col("callee"))
     e_svc = F.coalesce(classify.grpc_service(F.col("e_service")), classify.grpc_service(F.col("e_path")))
     by_service = out.withColumn("svc", F.lower(o_svc)).join(ep.withColumn("e_svc", F.lower(e_svc)), F.col("svc") == F.col("e_svc")).where(apart).drop("svc", "e_svc")
@@ -181,14 +181,20 @@ def outbound_matches(outbounds: DataFrame, endpoints: DataFrame) -> DataFrame:
     return one.select(*place, "x.*")
 
 
-def _contained(texts: DataFrame, parts: DataFrame, inside: Column, part: Column) -> DataFrame:
+def _contained(texts: DataFrame, parts: DataFrame, inside: Column, part: Column, sign: str = "") -> DataFrame:
     """Rows of texts and parts where the part stands in one of the texts: by substrings of the lengths that parts have, an equi-join.
 
-    The distinct lengths, a few, come to the driver; an empty part, which stands in everything, stands in nothing here but an empty text.
+    sign: what every part begins with, so that only substrings there are listed. Each distinct text is cut once, and only substrings that
+    are parts go on. The distinct lengths, a few, come to the driver; an empty part, which stands in everything, stands in nothing here.
     """
     keyed = parts.withColumn("part_key", part).where("part_key is not null")
-    lengths = sorted(r[0] for r in keyed.select(F.length("part_key")).distinct().collect())
-    if not lengths:
-        lengths = [1]
-    subs = F.flatten(F.transform(inside, lambda t: F.flatten(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - n + 1)), lambda k: k + n - 1 <= F.length(t)), lambda k: F.substring(t, k, n))))))
-    return texts.withColumn("part_key", F.explode(F.array_distinct(subs))).join(keyed, "part_key").drop("part_key")
+    lengths = sorted(r[0] for r in keyed.select(F.length("part_key")).distinct().collect() if r[0]) or [1]
+    cut = texts.select(F.explode(F.array_distinct(inside)).alias("text_key")).where("text_key is not null").distinct()
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text_key") - lengths[0] + 1))
+    if sign:
+        starts = F.filter(starts, lambda k: F.substring(F.col("text_key"), k, F.lit(len(sign))) == sign)
+    subs = cut.select("text_key", F.explode(starts).alias("k")).select("text_key", "k", F.explode(F.array(*map(F.lit, lengths))).alias("n"))
+    subs = subs.where("k + n - 1 <= length(text_key)").select("text_key", F.expr("substring(text_key, k, n)").alias("part_key"))
+    met = subs.join(keyed.select("part_key").distinct(), "part_key", "left_semi").distinct()
+    found = texts.withColumn("text_key", F.explode(F.array_distinct(inside))).join(met, "text_key").drop("text_key").dropDuplicates()
+    return found.join(keyed, "part_key").drop("part_key")

@@ -16,8 +16,6 @@ from latticework.model import CROSS_REPO, EdgeKind, NodeKind, quantised
 
 # Endpoint names that link nothing.
 GENERIC_ENDPOINTS = ("websocket", "/", "/health", "/healthz", "health", "index")
-#: Characters of a path's start by which prefix matches are blocked.
-FIRST_SEGMENT = r"^(/[^/]+/)"
 
 
 def _prefixed(df: DataFrame, prefix: str, only: list[str] | None = None) -> DataFrame:
@@ -66,18 +64,12 @@ def _rest_sides(calls: DataFrame, routes: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def rest_prefix(calls: DataFrame, routes: DataFrame) -> DataFrame:
-    """For calls without an exact route: routes of which one path starts with the other, both of two segments or more.
-
-    Paths that do so share their first segment, whole, as the shorter has a second one behind it; they are joined on that.
-    """
+    """For calls without an exact route: routes of which one path starts with the other, both of two segments or more."""
     c, s = _rest_sides(calls, routes)
     c = c.join(s.select("norm").distinct(), "norm", "left_anti")
     deep = paths.segments(F.col("norm")) >= paths.MIN_PREFIX_SEGMENTS
-    first = F.regexp_extract("norm", FIRST_SEGMENT, 1)
-    left = c.where(deep).withColumn("block", first).withColumnRenamed("norm", "client_norm")
-    right = s.where(deep).withColumn("block", first).withColumnRenamed("norm", "server_norm")
-    starts = F.startswith("client_norm", "server_norm") | F.startswith("server_norm", "client_norm")
-    met = left.join(right, (left["block"] == right["block"]) & starts).drop("block")
+    left, right = c.where(deep).withColumnRenamed("norm", "client_norm"), s.where(deep).withColumnRenamed("norm", "server_norm")
+    met = left.join(prefix_pairs(left, right), "client_norm").join(right, "server_norm")
     return met.withColumn("confidence", F.when(_same_repo("client_repo", "server_repo"), 0.3).otherwise(0.6)).withColumn("method", F.lit(""))
 
 
@@ -93,18 +85,27 @@ def match_websockets(clients: DataFrame, servers: DataFrame) -> DataFrame:
     same = _same_repo("client_repo", "server_repo")
     exact = c.join(s, "norm").withColumn("confidence", F.when(same, 0.4).when(F.col("in_cluster"), 0.85).otherwise(0.75)).withColumn("exact", F.lit(True))
     rest = c.join(s.select("norm").distinct(), "norm", "left_anti").withColumnRenamed("norm", "client_norm")
-    # "/" starts every path. All other prefixes share the first segment's start; the servers' distinct paths carry the blocks.
-    heads = rest.withColumn("block", F.explode(_heads(F.col("client_norm"))))
-    targets = s.withColumnRenamed("norm", "server_norm").withColumn("block", F.explode(_heads(F.col("server_norm"))))
-    starts = (F.col("block") == F.col("client_norm")) | (F.col("block") == F.col("server_norm"))
-    near = heads.join(targets, "block").where(starts).drop("block")
+    targets = s.withColumnRenamed("norm", "server_norm")
+    near = rest.join(prefix_pairs(rest, targets), "client_norm").join(targets, "server_norm")
     near = near.withColumn("confidence", F.when(same, 0.3).otherwise(0.5)).withColumn("exact", F.lit(False))
     columns = ["server_path", "client_url", "client_file", "client_line", "client_repo", "server_file", "server_line", "server_repo", "confidence", "exact"]
     return exact.select(columns).unionByName(near.select(columns))
 
 
+def prefix_pairs(clients: DataFrame, servers: DataFrame) -> DataFrame:
+    """client_norm and server_norm, distinct, of which one starts with the other.
+
+    Two equi-joins, of all beginnings of the one side's paths with the other side's whole paths: no two paths meet on a beginning that
+    they merely share.
+    """
+    c, s = clients.select("client_norm").distinct(), servers.select("server_norm").distinct()
+    shorter_server = c.withColumn("server_norm", F.explode(_heads(F.col("client_norm")))).join(s, "server_norm")
+    shorter_client = s.withColumn("client_norm", F.explode(_heads(F.col("server_norm")))).join(c, "client_norm").where("client_norm <> server_norm")
+    return shorter_server.select("client_norm", "server_norm").unionByName(shorter_client.select("client_norm", "server_norm"))
+
+
 def _heads(path: Column) -> Column:
-    """All beginnings of a path, itself included: a prefix pair meets on the shorter path."""
+    """All beginnings of a path, itself included."""
     return F.transform(F.sequence(F.lit(1), F.length(path)), lambda k: F.substring(path, F.lit(1), k))
 
 

@@ -23,9 +23,9 @@ CLIENTS = f"select repo, path, method, file, line from ({HTTP}) h where page_id
 ROUTES = f"select repo, path, method, file, line from ({HTTP}) h where page_id % 2 = 0"
 VALUE = "concat(case when s_suppkey % 5 = 0 then '' else 'http://' end, lower(replace(s_name, ' ', '-')), case s_suppkey % 4 when 0 then '-staging' when 1 then '-prod' else '' end, case when s_suppkey % 3 = 0 then '' else concat('.ns', cast(s_nationkey as varchar(9)), '.svc.cluster.local') end, case when s_suppkey % 2 = 0 then concat(':', cast(8000 + s_suppkey * 700 as varchar(9))) else '' end, case when s_suppkey % 7 < 3 then '/p/q' else '' end)"
 ENV_DEFS = f"select concat('repo', cast(s_suppkey % 3 as varchar(9))) as repo, concat('VAR_', cast(s_suppkey % 40 as varchar(9))) as var_name, {VALUE} as value, 'values.yaml' as file, cast(s_suppkey as int) as line from {{supplier}}"
-ENV_READS = "select concat('repo', cast(c_custkey % 3 as varchar(9))) as repo, concat('VAR_', cast(c_custkey % 60 as varchar(9))) as var_name, concat('c', cast(c_custkey % 10 as varchar(9)), '.py') as file, cast(c_custkey as int) as line from {customer} where c_custkey < 300"
-BUILT = "select concat('repo', cast(p_partkey % 2 as varchar(9))) as repo, concat('gcr.io/', lower(replace(p_brand, '#', '-')), '/', lower(replace(p_type, ' ', '-')), ':v', cast(p_size as varchar(9))) as image_ref, 'Dockerfile' as file from {part} where p_partkey % 10 = 0"
-USED = "select concat('repo', cast(p_partkey % 3 as varchar(9))) as repo, concat(case when p_partkey % 3 = 0 then 'gcr.io' else 'host:5000' end, '/', lower(replace(p_brand, '#', '-')), '/', lower(replace(p_type, ' ', '-')), case when p_partkey % 4 = 0 then '@sha256:0a' when p_partkey % 4 = 1 then ':latest' else '' end) as image_ref, 'k8s.yaml' as file, cast(p_partkey as int) as line from {part} where p_partkey % 10 = 5"
+ENV_READS = "select concat('repo', cast(c_custkey % 3 as varchar(9))) as repo, concat('VAR_', cast(c_custkey % 60 as varchar(9))) as var_name, concat('c', cast(c_custkey % 10 as varchar(9)), '.py') as file, cast(c_custkey as int) as line from {customer}"
+BUILT = "select concat('repo', cast(p_partkey % 2 as varchar(9))) as repo, concat('gcr.io/', lower(replace(p_brand, '#', '-')), '/', lower(replace(p_type, ' ', '-')), ':v', cast(p_size as varchar(9))) as image_ref, 'Dockerfile' as file from {part} where p_partkey % 2 = 0"
+USED = "select concat('repo', cast(p_partkey % 3 as varchar(9))) as repo, concat(case when p_partkey % 3 = 0 then 'gcr.io' else 'host:5000' end, '/', lower(replace(p_brand, '#', '-')), '/', lower(replace(p_type, ' ', '-')), case when p_partkey % 4 = 0 then '@sha256:0a' when p_partkey % 4 = 1 then ':latest' else '' end) as image_ref, 'k8s.yaml' as file, cast(p_partkey as int) as line from {part} where p_partkey % 2 = 1"
 WS = "select page_id, concat('repo', cast(page_id % 3 as varchar(9))) as repo, concat(case page_id % 3 when 0 then '' when 1 then 'ws://api.ns.svc.cluster.local:80' else 'wss://host' end, '/ws/', cast(page_id % 15 as varchar(9)), case when page_id % 4 = 0 then '/in/' else '' end) as url, concat('f', cast(page_id as varchar(9))) as file, cast(page_id as int) as line from {pages}"
 WS_CLIENTS = f"select repo, url, file, line from ({WS}) w where page_id % 2 = 1"
 WS_SERVERS = f"select repo, url as path, file, line from ({WS}) w where page_id % 2 = 0"
@@ -118,7 +118,8 @@ def resolver_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.resolution_counts(M.resolution(grpc=grpc, helm_env=helm))
 
 
-_EP = "select o_orderkey as id, 4 as kind, case when o_orderkey % 50 = 0 then '/health' else concat('/p/', cast(o_orderkey % 900 as varchar(9))) end as name, cast(o_custkey % 4 as int) as repo from {orders} where o_orderkey % 3 = 0"
+_EP = "select o_orderkey as id, 4 as kind, case when o_orderkey % 50 = 0 then '/health' else concat('/p/', cast(o_custkey as varchar(9))) end as name, cast(o_orderkey % 4 as int) as repo from {orders}"
+_ENV = "select o_orderkey as id, 4 as kind, concat('V', cast(o_custkey as varchar(9))) as name, cast(o_orderkey % 4 as int) as repo from {orders}"
 
 
 @query(f"with n as ({_o(_EP)}) select a.id as src, b.id as dst from n a join n b on a.name = b.name and a.repo <> b.repo where a.name <> '/health'")
@@ -126,9 +127,9 @@ def endpoint_selfjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.same_name_edges(_frame(spark, sf_dir, _EP), 4, EdgeKind.CONNECTS, skip=M.GENERIC_ENDPOINTS).select("src", "dst")
 
 
-@query(f"with n as ({_o(_EP)}) select a.id as src, b.id as dst, 200 as confidence from n a join n b on a.name = b.name and a.repo <> b.repo")
+@query(f"with n as ({_o(_ENV)}) select a.id as src, b.id as dst, 200 as confidence from n a join n b on a.name = b.name and a.repo <> b.repo")
 def env_selfjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.same_name_edges(_frame(spark, sf_dir, _EP), 4, EdgeKind.RESOLVES, 200).select("src", "dst", "confidence")
+    return M.same_name_edges(_frame(spark, sf_dir, _ENV), 4, EdgeKind.RESOLVES, 200).select("src", "dst", "confidence")
 
 
 @query("select e.event_id, d.definition from events e left join lateral (select min(s.event_id) as definition from events s where s.user_id = e.user_id and s.event_type = 'signup' and s.ts = (select max(t.ts) from events t where t.user_id = e.user_id and t.event_type = 'signup' and t.ts <= e.ts)) d on true where e.event_type <> 'signup' and d.definition is not null")
@@ -150,7 +151,7 @@ def crossrepo_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.match_edges(matches, sites.where("id % 7 = 0")).select("src", "dst", F.col("confidence").cast("int").alias("confidence"))
 
 
-_CALLED = "select o_orderkey as caller, concat('NATION_', cast(o_custkey % 40 as varchar(9))) as name from {orders} where o_orderkey < 2000"
+_CALLED = "select o_orderkey as caller, concat('NATION_', cast(o_custkey % 40 as varchar(9))) as name from {orders}"
 _NAMED = "select n_nationkey + 100 as id, 3 as kind, n_name as name from {nation}"
 
 
@@ -272,7 +273,7 @@ def callee_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PLACED = "select s_suppkey as id, s_name as name, concat('src/s', cast(s_suppkey % 40 as varchar(9)), '.go') as file, cast(s_suppkey % 50 as int) as line from {supplier} union all select 1000000 + p_partkey, p_name, null, null from {part}"
-_CONNECTS = "select distinct l_suppkey as src, 1000000 + l_partkey as dst from {lineitem} where l_partkey % 20 = 0"
+_CONNECTS = "select distinct l_suppkey as src, 1000000 + l_partkey as dst from {lineitem} "
 _WORDS = " ".join(f"when {' or '.join(f'contains(lower(target), {w!r})' for w in words)} then '{kind}'" for kind, words in classify.RESOURCE_WORDS)
 
 
@@ -299,7 +300,7 @@ def outbound_endpoint_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- snapshots ------------------------------------------------------------------------------------------------------------------
 
-_SNAPS = "select k as snapshot, concat('f', cast(o_orderkey as varchar(9))) as name from {orders} cross join (values (0), (1), (2), (3)) t(k) where o_orderkey < 2000 and (o_custkey + k * 7) % 5 <> 0"
+_SNAPS = "select k as snapshot, concat('f', cast(o_orderkey as varchar(9))) as name from {orders} cross join (values (0), (1), (2), (3)) t(k) where (o_custkey + k * 7) % 5 <> 0"
 
 
 @query(f"with s as ({_o(_SNAPS)}) select snapshot, change, count(*) as n from (select snapshot, name, 'added' as change from s a where not exists (select 1 from s b where b.name = a.name and b.snapshot = a.snapshot - 1) union all select snapshot + 1, name, 'removed' from s a where snapshot < 3 and not exists (select 1 from s b where b.name = a.name and b.snapshot = a.snapshot + 1)) x group by snapshot, change")

@@ -173,22 +173,22 @@ def resolves_same_fn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with recursive x as ({X}), v as ({VARS}), w(origin, node, d) as (select distinct src, src, 0 from x where kind = 8 union select origin, x.src, d + 1 from w join x on x.dst = w.node and x.kind = 1 where d < 2),
+    f"""with recursive x as ({X}), v as ({VARS}), w(origin, node, d) as (select distinct src, src, 0 from x where kind = 8 union select origin, x.src, d + 1 from w join x on x.dst = w.node and x.kind = 1 where d < 5),
     m as (select origin, node, min(d) as d from w group by origin, node)
     select distinct c.dst as src, f.dst as dst from m join x f on f.src = m.node and f.kind = 6 join v on v.node = f.dst join x c on c.src = m.origin and c.kind = 8 where m.d > 0"""
 )
 def resolves_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.resolves_backward(*_env(spark, sf_dir), max_depth=2)
+    return traverse.resolves_backward(*_env(spark, sf_dir))
 
 
 @query(
     f"""with recursive x as ({X}), v as ({VARS}), q as (select f.src, f.dst from x f join v on v.node = f.dst where f.kind = 6 and f.src not in (select src from x where kind = 8)),
-    w(origin, node, d) as (select distinct src, src, 0 from q union select origin, x.dst, d + 1 from w join x on x.src = w.node and x.kind = 1 where d < 2),
+    w(origin, node, d) as (select distinct src, src, 0 from q union select origin, x.dst, d + 1 from w join x on x.src = w.node and x.kind = 1 where d < 5),
     m as (select origin, node, min(d) as d from w group by origin, node)
     select distinct c.dst as src, q.dst as dst from m join x c on c.src = m.node and c.kind = 8 join q on q.src = m.origin where m.d > 0"""
 )
 def resolves_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.resolves_forward(*_env(spark, sf_dir), max_depth=2)
+    return traverse.resolves_forward(*_env(spark, sf_dir))
 
 
 @query(f"{WITH} select distinct src as caller from e where kind = 1 and dst = {CUSTOMER + 50} order by 1 limit 10")

@@ -196,12 +196,25 @@ def provenance_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.calls(spark, sf_dir).select("seq", provenance.formatted("address_source").alias("chain"))
 
 
-@query("with recursive d as (select o_orderkey as use, o_custkey as c from orders where o_orderkey < 500) select use, 0 as depth, 'literal' as kind, cast(c as varchar) as value from d")
+#: An assignment for each order, in files by customer: most hand a variable on, others end in a literal, the environment, a call or a parameter.
+_ASSIGNED = "select concat('f', cast(o_custkey % 700 as varchar(9))) as file, cast(o_orderkey as int) as line, concat('v', cast(o_orderkey % 5 as varchar(9))) as name, case o_orderkey % 23 when 0 then 'literal' when 1 then 'env' when 2 then 'call' when 3 then 'parameter' else 'variable' end as kind, concat('v', cast((o_orderkey + o_custkey) % 6 as varchar(9))) as value from {orders}"
+
+
+@query(
+    f"""with recursive a as (select *, row_number() over () as id from ({_o(_ASSIGNED)}) x),
+    u as (select o_orderkey as use, concat('f', o_custkey % 700) as file, concat('v', o_orderkey % 4) as name, cast(o_orderkey as int) - 1 as pos from orders),
+    v as (select id, file, value as name, line - 1 as pos from a where kind = 'variable'),
+    f as materialized (select use, a.id, u.name from u asof left join a on u.file = a.file and u.name = a.name and u.pos >= a.line),
+    n as materialized (select v.id, a.id as next, v.name from v asof left join a on v.file = a.file and v.name = a.name and v.pos >= a.line),
+    w(use, depth, id, name) as (select use, 0, id, name from f union all select use, depth + 1, n.next, n.name from w join n on n.id = w.id where depth < 10),
+    s as (select use, depth, w.name, a.kind, a.value from w left join a on a.id = w.id)
+    select use, depth, coalesce(kind, 'unknown') as kind, coalesce(value, name) as value from s where kind is distinct from 'variable'
+    union all select use, depth, 'dynamic', 'depth-exceeded' from s where kind = 'variable' and depth = 10"""
+)
 def trace_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = bridge.table(spark, sf_dir, "orders").where("o_orderkey < 500")
-    text = F.col("o_custkey").cast("string")
-    uses = orders.select(F.col("o_orderkey").alias("use"), F.lit("f").alias("file"), F.lit(10).alias("at"), F.concat(F.lit("v"), text).alias("name"))
-    made = orders.select(F.lit("f").alias("file"), F.lit(3).alias("at"), F.concat(F.lit("v"), text).alias("name"), F.lit("literal").alias("kind"), text.alias("value")).distinct()
+    made = _of(spark, sf_dir, _ASSIGNED).withColumnRenamed("line", "at")
+    orders = bridge.table(spark, sf_dir, "orders")
+    uses = orders.select(F.col("o_orderkey").alias("use"), F.expr("concat('f', o_custkey % 700)").alias("file"), F.col("o_orderkey").cast("int").alias("at"), F.expr("concat('v', o_orderkey % 4)").alias("name"))
     return provenance.trace_back(uses, made).select("use", "depth", "kind", "value")
 
 

@@ -125,9 +125,9 @@ def incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.stored_counts(spark, stream, ["event_type"], new_dir(spark, "counts"), new_dir(spark, "stream"))
 
 
-@query("select file, name, change from (select 'f' || (o_custkey % 20) as file, 'n' || o_orderkey as name, 'removed' as change from orders where o_orderkey < 600 and o_orderkey % 4 = 0 and o_custkey % 20 < 10) where file in (select 'f' || (o_custkey % 20) from orders where o_orderkey < 600 and o_orderkey % 4 <> 0 and o_custkey % 20 < 10)")
+@query("select file, name, change from (select 'f' || (o_custkey % 20) as file, 'n' || o_orderkey as name, 'removed' as change from orders where o_orderkey % 4 = 0 and o_custkey % 20 < 10) where file in (select 'f' || (o_custkey % 20) from orders where o_orderkey % 4 <> 0 and o_custkey % 20 < 10)")
 def fact_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = bridge.table(spark, sf_dir, "orders").where("o_orderkey < 600")
+    orders = bridge.table(spark, sf_dir, "orders")
     facts = orders.select(F.concat(F.lit("f"), (F.col("o_custkey") % 20).cast("string")).alias("file"), F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("name"), "o_orderkey", "o_custkey")
     after = facts.where("o_orderkey % 4 <> 0 and o_custkey % 20 < 10")
     return incremental.fact_changes(facts.select("file", "name"), after.select("file", "name"), ["file", "name"])

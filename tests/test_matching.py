@@ -1,9 +1,10 @@
 from pyspark.sql import functions as F
 
+from latticework.functions import classify
 from latticework.model import EdgeKind
 from latticework.operators import calls as C
 from latticework.operators import matching as M
-from latticework.operators import provenance, search, sinks
+from latticework.operators import provenance, registry_table, search, sinks
 from latticework.sources import store
 
 SITE = "repo string, path string, method string, file string, line int"
@@ -131,3 +132,24 @@ def test_rules_come_in_order(spark):
     rules = store.custom_rules(spark, '[[sinks]]\nfqn = "mylib.send"\ncategory = "kafka_producer"\n[[sinks]]\nfqn = "x"\ncategory = "nonsense"\n')
     got = {r.id: (r.category, r.how) for r in sinks.told(calls, imports, sinks.builtin(spark), rules).collect()}
     assert got == {1: ("http_client", "registry"), 2: ("kafka_producer", "custom"), 3: ("http_client", "registry"), 4: ("unknown", "permissive")}
+
+
+def test_prefix_matches_do_not_meet_on_shared_beginnings(spark):
+    servers = spark.range(50_000).selectExpr("'r2' as repo", "concat('/api/v1/', id) as path", "'get' as method", "'s' as file", "cast(id as int) as line")
+    calls = spark.createDataFrame([("r1", "/api/v1/77/more", "get", "c", 1), ("r1", "/api/v1", "get", "c", 2), ("r1", "/api/other/x", "get", "c", 3)], "repo string, path string, method string, file string, line int")
+    found = M.rest_prefix(calls, servers)
+    by = found.groupBy("client_line").count().collect()
+    assert {r.client_line: r["count"] for r in by} == {1: 2, 2: 50_000}  # /api/v1/7 and /api/v1/77
+    sockets = servers.selectExpr("repo", "path", "file", "line")
+    near = M.match_websockets(calls.selectExpr("repo", "path as url", "file", "line"), sockets).where("not exact")
+    assert {r.client_line: r["count"] for r in near.groupBy("client_line").count().collect()} == {1: 2, 2: 50_000}
+    joins = [x for x in found._jdf.queryExecution().toString().split("== Physical Plan ==")[1].splitlines() if "Join" in x]
+    assert joins and not any("Cartesian" in x or "NestedLoop" in x or "block" in x for x in joins)
+
+
+def test_the_registry_is_whole():
+    rows = registry_table.sink_rows(classify.INBOUND_KINDS)
+    assert len(rows) == len({r[1] for r in rows}) == 375 and len(set(registry_table.route_rows())) == 75
+    by = {r[1]: r for r in rows}
+    assert by["net/http.NewRequestWithContext"][2:] == ("http_client", 2, "outbound") and by["grpc::CreateChannel"][0] == "cpp" and by["fetch"][3] == 0
+    assert by["boto3.client.SQS.receive_message"][4] == "inbound" and by["sendto"][3] == 4
