@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from latticework import storage
 from latticework.storage import new_dir, small, stored
 
-__all__ = ["ascii_lower", "digest_bucket", "give_back", "lowest", "new_dir", "small", "stored", "table"]
+__all__ = ["ascii_lower", "digest_bucket", "give_back", "joined_by", "lowest", "new_dir", "small", "stored", "table"]
 
 #: Rows up to which a counted table may be broadcast.
 BROADCAST_ROWS = storage.BROADCAST_ROWS
+#: A key of more rows than this is joined by broadcast, if there are HOT_KEYS of such keys at most; else one of more than their share.
+HOT_ROWS, HOT_KEYS = 10_000, 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +43,23 @@ def lowest(df: DataFrame, hashed: str, limit: int) -> DataFrame:
     return df.orderBy(hashed).limit(limit)
 
 
+def joined_by(left: DataFrame, right: DataFrame, key: str, rows: int, most: int) -> DataFrame:
+    """left with found: a struct of right's other columns for its key, null without any.
+
+    right has a row for each key and n, how many rows of left have it; rows: all rows of left; most: a bound of right's rows. Beyond a
+    broadcast of all, only keys of many rows are broadcast, HOT_KEYS of them at most, and the others joined by shuffle.
+    """
+    other = F.struct(*(c for c in right.columns if c not in (key, "n"))).alias("found")
+    if most <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right.select(key, other)), key, "left")
+    limit = max(HOT_ROWS, rows // HOT_KEYS)
+    hot = F.broadcast(right.where(F.col("n") > limit).select(key, other))
+    cold = right.where(F.col("n") <= limit).select(key, other)
+    often = left.join(hot, key)
+    rest = left.join(hot.select(key), key, "left_anti").join(cold, key, "left")
+    return often.unionByName(rest)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z in lower case, all other characters as they are."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -11,10 +11,12 @@ of shingles that nobody else has, and drop out exactly:
 3. The sets of a cluster meet as a trie, most frequent shingles first, so that near copies share long paths. Each set walks the trie,
    adding up its overlap once for a whole subtree, and leaves a subtree whose remaining length cannot reach the needed overlap.
 
-Equal sets count as one throughout. A task holds BLOCK_SETS sets of a cluster at most: a larger cluster is joined in blocks, its blocks'
-components through one set of each, and then only sets outside its largest component against all blocks. Nothing is dropped or capped.
+Equal sets count as one throughout. A task holds BLOCK_SETS sets and BLOCK_SHINGLES shingles of a cluster at most, or one set that has more:
+a larger cluster is joined in blocks, its blocks' components through one set of each. What can still be linked then is a set outside the
+cluster's largest component, and such sets meet others only where they share a shingle of both prefixes, in blocks again. So the work of a
+cluster that a common passage chains together grows with its sets and not with their pairs. Nothing is dropped or capped.
 
-A shingle set is known by a 64-bit hash too: two different ones among a billion take one place with a chance of about 3 per cent.
+A shingle set is known by 128 bits of hashes: a 64-bit key, and a 64-bit check by which sets that share a key are told apart.
 
 Defined cases: a null text or one without words has an empty set and is linked with nothing; fewer words than a shingle make one
 shingle; repeated rows and rows with one doc_id each get a row of the result; the component of rows that have only null ids is null,
@@ -32,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latticework.llm.common import give_back, small, stored
+from latticework.llm.common import give_back, joined_by, small, stored
 from latticework.llm.components import components
 
 SHINGLE = 3
 #: The similarity in per cent.
 PERCENT = 90
 LOW_SHARE = 0.2
-BLOCK_SETS = 2000
+BLOCK_SETS, BLOCK_SHINGLES = 2000, 4_000_000
 #: Ids that are broadcast at most (16 MB of numbers).
 BROADCAST_IDS = 1_000_000
 #: Words that a task remembers; it forgets them when there are more, and at its end.
@@ -80,8 +82,8 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
-def set_key(hashes: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
+def set_key(hashes: np.ndarray, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), seed) - (1 << 63)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -92,8 +94,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def sets_of(docs: DataFrame, size: int = SHINGLE, share: float = 1.0) -> DataFrame:
-    """doc_id, n_shingles, key (null for the empty set) and hashes, those below the share of all hashes, one row per row."""
-    schema = T.StructType([docs.select("doc_id").schema[0], *T.StructType.fromDDL("n_shingles long, key long, hashes array<long>")])
+    """doc_id, n_shingles, key and check (null for the empty set) and hashes, those below the share of all hashes, one row per row."""
+    schema = T.StructType([docs.select("doc_id").schema[0], *T.StructType.fromDDL("n_shingles long, key long, check long, hashes array<long>")])
     most = np.uint64(min(int(share * 2**64), 2**64 - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,9 +103,10 @@ def sets_of(docs: DataFrame, size: int = SHINGLE, share: float = 1.0) -> DataFra
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 found = [shingles(t.as_py() or b"", size) for t in batch.column(1).cast(pa.binary())]
-                keys = pa.array([set_key(s) if len(s) else None for s in found], pa.int64())
+                keys, checks = (pa.array([set_key(s, seed) if len(s) else None for s in found], pa.int64()) for seed in (0, 1))
                 low = _lists([s[: np.searchsorted(s, most, "right")] for s in found])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), keys, low], names=["doc_id", "n_shingles", "key", "hashes"])
+                counts = pa.array([len(s) for s in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), counts, keys, checks, low], names=["doc_id", "n_shingles", "key", "check", "hashes"])
         _hashes.clear()
         give_back()
 
@@ -118,22 +121,47 @@ def _prefix(percent: int):
     return F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
 
 
-def _survivors(base: DataFrame, percent: int) -> DataFrame:
+def keys_of(base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """base, with a key for each set; key, n_shingles, doc_id (the smallest) and n (rows) of each set; and the keys that had several sets, if any."""
+
+    def counted(rows: DataFrame) -> DataFrame:
+        aggregates = F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), (F.min("check") < F.max("check")).alias("several")
+        return stored(rows.where("key is not null").groupBy("key").agg(*aggregates), "join-keys")
+
+    keys = counted(base)
+    several = keys.where("several").select(F.col("key").alias("several_key"))
+    n = several.count()
+    if not n:
+        return base, keys, None
+    several = small(several, n)
+    base = told_apart(base, several)
+    return base, counted(base), several
+
+
+def told_apart(sets: DataFrame, several: DataFrame | None) -> DataFrame:
+    """sets, in which a key that several sets have is replaced by one made with the check."""
+    if several is None:
+        return sets
+    met = sets.join(several, F.col("key") == F.col("several_key"), "left")
+    return met.withColumn("key", F.when(F.col("several_key").isNotNull(), F.xxhash64("key", "check")).otherwise(F.col("key"))).drop("several_key")
+
+
+def _survivors(base: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     """key, n_shingles and a doc_id of the sets without a whole prefix of shingles that stand in no other set."""
     tokens = base.select("key", F.explode("hashes").alias("token"))
     alone = tokens.groupBy("token").agg(F.min("key").alias("key"), F.max("key").alias("other")).where("key = other")
     own = alone.groupBy("key").agg(F.count("*").alias("n_own"))
-    sets = base.where("key is not null").groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"))
-    return sets.join(own, "key", "left").where(F.coalesce("n_own", F.lit(0)) < _prefix(percent)).drop("n_own")
+    return keys.select("key", "n_shingles", "doc_id").join(own, "key", "left").where(F.coalesce("n_own", F.lit(0)) < _prefix(percent)).drop("n_own")
 
 
-def candidate_sets(docs: DataFrame, base: DataFrame, size: int, percent: int) -> DataFrame:
+def candidate_sets(docs: DataFrame, base: DataFrame, keys: DataFrame, several: DataFrame | None, size: int, percent: int) -> DataFrame:
     """key, n_shingles, ranked (the shingles shared with other candidates, rarest first) and n_prefix, how many of those are in its prefix."""
-    left = stored(_survivors(base, percent), "join-survivors")
+    left = stored(_survivors(base, keys, percent), "join-survivors")
     n_left = left.count()
     ids = left.select(F.col("doc_id").alias("left_id")).distinct()
     again = docs.select("doc_id", "text").join(small(ids, n_left, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("left_id")), "left_semi")
-    tokens = sets_of(again, size).join(small(left.select("key"), n_left, BROADCAST_IDS), "key", "left_semi").select("key", "n_shingles", F.explode("hashes").alias("token"))
+    again = told_apart(sets_of(again, size), several)
+    tokens = again.join(small(left.select("key"), n_left, BROADCAST_IDS), "key", "left_semi").select("key", "n_shingles", F.explode("hashes").alias("token"))
     tokens = stored(tokens, "join-tokens")
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     ranked = (
@@ -288,12 +316,18 @@ def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
 
 
+def _blocks(sets, shingles, block: int):
+    """How many blocks hold so many sets of so many shingles."""
+    return F.greatest(F.ceil(sets / block), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
 def links(sets: DataFrame, clusters: DataFrame, percent: int = PERCENT, block: int = BLOCK_SETS) -> DataFrame:
     """Links (a, b) between keys that connect exactly the sets that similarity connects."""
-    counted = clusters.groupBy("cluster").agg(F.count("*").alias("n_sets"))
-    members = clusters.join(counted, "cluster").join(sets, "key")
-    members = members.withColumn("blocks", F.ceil(F.col("n_sets") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("string"))
-    members = stored(members.select("cluster", "blocks", "part", "key", "n_shingles", "ranked"), "join-members")
+    members = clusters.join(sets.withColumn("length", F.size("ranked")), "key")
+    counted = clusters.join(sets.select("key", F.size("ranked").alias("length")), "key").groupBy("cluster").agg(F.count("*").alias("n_sets"), F.sum("length").alias("n_shingles"))
+    blocks = counted.select("cluster", _blocks(F.col("n_sets"), F.col("n_shingles"), block).alias("blocks"))
+    members = members.join(blocks, "cluster").withColumn("part", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("string"))
+    members = stored(members.select("cluster", "blocks", "part", "key", "n_shingles", "ranked", "n_prefix", "length"), "join-members")
     none, yes = F.lit(None).cast("long"), F.lit(True)
     found = stored(linked(members.withColumn("component", none).withColumn("asks", yes), percent), "join-links")
     large = members.where("blocks > 1")
@@ -301,19 +335,23 @@ def links(sets: DataFrame, clusters: DataFrame, percent: int = PERCENT, block: i
         return found
     # One set for each component of a block, in blocks again: copies of one text become one component here.
     found = found.union(_between(large, found, percent, block))
-    # What is left: sets outside the largest component of their cluster, against all of the cluster.
+    # What is left: sets outside the largest component of their cluster, against those with which they share a shingle of both prefixes.
     comps = _with_components(large, found)
     sizes = comps.groupBy("cluster", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component"))["component"].alias("largest"))
     comps = stored(comps.join(largest, "cluster"), "join-comps")
-    outside = comps.where("component <> largest")
-    counts = outside.groupBy("cluster").agg(F.count("*").alias("n_outside"))
-    dealt = outside.join(counts, "cluster").withColumn("group", F.pmod(F.xxhash64("key"), F.ceil(F.col("n_outside") / block)).cast("int"))
-    groups = counts.select("cluster", F.ceil(F.col("n_outside") / block).cast("int").alias("groups"))
-    asking = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.concat_ws("/", "block", "group").alias("part"), "key", "n_shingles", "ranked", "component", yes.alias("asks"))
-    asked = comps.join(groups, "cluster").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    asked = asked.select("cluster", F.concat_ws("/", "part", "group").alias("part"), "key", "n_shingles", "ranked", "component", F.lit(False).alias("asks"))
-    return found.union(stored(linked(asking.union(asked), percent), "join-rest"))
+    token = F.explode(F.slice("ranked", F.lit(1), F.col("n_prefix"))).alias("token")
+    ends = stored(comps.select("key", "length", (F.col("component") != F.col("largest")).alias("asks"), token), "join-prefixes")
+    groups = ends.groupBy("token").agg(F.count("*").alias("n"), F.sum("length").alias("n_all"), F.count_if("asks").alias("n_asks"), F.sum(F.when(F.col("asks"), F.col("length"))).alias("n_asked"))
+    groups = groups.where("n > 1 and n_asks > 0").select("token", _blocks(F.col("n"), F.col("n_all"), block).alias("blocks"), _blocks(F.col("n_asks"), F.col("n_asked"), block).alias("groups"))
+    met = ends.select("key", "token", "asks").join(groups, "token")
+    at, group = (F.pmod(F.xxhash64("key", F.lit(k)), F.col(c)).cast("int") for k, c in ((2, "blocks"), (3, "groups")))
+    asked = met.withColumn("block", at).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    asking = met.where("asks").withColumn("group", group).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = asked.select("key", "token", "block", "group", F.lit(False).alias("asks")).union(asking.select("key", "token", "block", "group", yes.alias("asks")))
+    part = F.concat_ws("/", "block", "group").alias("part")
+    rows = both.join(comps.select("key", "n_shingles", "ranked", "component"), "key").select(F.col("token").alias("cluster"), part, "key", "n_shingles", "ranked", "component", "asks")
+    return found.union(stored(linked(rows, percent), "join-rest"))
 
 
 def _with_components(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -324,9 +362,9 @@ def _with_components(members: DataFrame, found: DataFrame) -> DataFrame:
 def _between(large: DataFrame, found: DataFrame, percent: int, block: int) -> DataFrame:
     """Links between one set of each component in each block."""
     comps = _with_components(large, found)
-    one = comps.groupBy("cluster", "part", "component").agg(F.min("key").alias("key"))
-    counts = one.groupBy("cluster").agg(F.count("*").alias("n_one"))
-    pivots = one.join(counts, "cluster").select("cluster", "key", F.ceil(F.col("n_one") / block).alias("blocks"))
+    one = comps.groupBy("cluster", "part", "component").agg(F.min(F.struct("key", "length")).alias("one"))
+    counts = one.groupBy("cluster").agg(F.count("*").alias("n_one"), F.sum("one.length").alias("n_shingles"))
+    pivots = one.join(counts, "cluster").select("cluster", F.col("one.key").alias("key"), _blocks(F.col("n_one"), F.col("n_shingles"), block).alias("blocks"))
     pivots = pivots.withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("string")).drop("blocks")
     rows = large.select("key", "n_shingles", "ranked").join(pivots, "key").withColumn("component", F.lit(None).cast("long")).withColumn("asks", F.lit(True))
     return stored(linked(rows, percent), "join-pivots")
@@ -338,11 +376,15 @@ def _between(large: DataFrame, found: DataFrame, percent: int, block: int) -> Da
 def similar_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK_SETS) -> DataFrame:
     """doc_id, n_shingles, key (of the set) and component_id, the smallest doc_id that links of the similarity reach, one row per row of docs."""
     share = min(1.0, max(LOW_SHARE, 2 * (100 - percent) / 100))  # below a prefix's share no set would drop out
-    base = stored(sets_of(docs, size, share), "join-sets")
-    sets = stored(candidate_sets(docs, base, size, percent), "join-candidates")
+    base, keys, several = keys_of(stored(sets_of(docs, size, share), "join-sets"))
+    sets = stored(candidate_sets(docs, base, keys, several, size, percent), "join-candidates")
     found = links(sets, stored(clusters_of(sets), "join-clusters"), percent, block)
     roots = stored(components(found).select(F.col("node").alias("key"), "root"), "join-roots")
-    rooted = base.select("doc_id", "n_shingles", "key").join(small(roots, roots.count()), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = rooted.where("key is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = rooted.join(least, "root", "left")
-    return out.select("doc_id", "n_shingles", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    n_roots = roots.count()
+    rooted = stored(keys.join(small(roots, n_roots), "key").select("key", "root", "doc_id", "n"), "join-rooted")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    linked_keys = joined_by(rooted.withColumnRenamed("n", "rows"), least, "root", n_roots, n_roots).select("key", F.col("found.least").alias("least"), F.col("rows").alias("n"))
+    copies = keys.where("n > 1").join(small(roots.select("key"), n_roots), "key", "left_anti").select("key", F.col("doc_id").alias("least"), "n")
+    special = stored(linked_keys.unionByName(copies), "join-least")
+    out = joined_by(base.select("doc_id", "n_shingles", "key"), special, "key", keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], special.count())
+    return out.select("doc_id", "n_shingles", "key", F.when(F.col("found").isNull(), F.col("doc_id")).otherwise(F.col("found.least")).alias("component_id"))

@@ -65,6 +65,28 @@ def test_equals_brute_force(spark, seed, block):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(docs)
 
 
+def test_keys_that_several_sets_share(spark, monkeypatch):
+    monkeypatch.setattr(J, "set_key", lambda hashes, seed=0: int(hashes[0] % 5) if seed == 0 else J.xxhash.xxh64_intdigest(hashes.tobytes(), seed) - (1 << 63))
+    docs = corpus(6, 60) + [(k + 500, f"copy of {k % 5} and more words in it") for k in range(40)]
+    rows = [(k, len(s := J.shingles(t.encode())), J.set_key(s), J.set_key(s, 1), s.view("int64").tolist()) for k, t in docs]
+    base, keys, several = J.keys_of(spark.createDataFrame(rows, "doc_id long, n_shingles long, key long, check long, hashes array<long>"))
+    assert several is not None and keys.count() == len({tuple(r[4]) for r in rows}) and not keys.where("several").count()
+    assert base.select("key").distinct().count() == keys.count()
+
+
+def test_joins_with_hot_keys(spark, monkeypatch):
+    from latticework.llm import common
+
+    left = spark.createDataFrame([(k % 3 if k < 50 else k, k) for k in range(80)], "k long, v long")
+    right = spark.createDataFrame([(0, "a", 17), (1, None, 17), (60, "c", 1), (999, "d", 0)], "k long, w string, n long")
+    want = {(r.k, r.v): {0: "a", 60: "c"}.get(r.k) for r in left.collect()}
+    for most in (10, 10**9):
+        monkeypatch.setattr(common, "HOT_ROWS", 10)
+        got = common.joined_by(left, right, "k", 80, most).collect()
+        assert {(r.k, r.v): r.found and r.found.w for r in got} == want and len(got) == 80
+        assert all((r.found is not None) == (r.k in (0, 1, 60)) for r in got)
+
+
 def test_other_similarity_and_size(spark):
     docs = corpus(4, 120)
     frame = spark.createDataFrame(docs, "doc_id long, text string")
