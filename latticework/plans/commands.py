@@ -35,7 +35,8 @@ def _nodes(df: DataFrame, kind: NodeKind, name, sub_kind: int = 0) -> DataFrame:
 def build(spark: SparkSession, trees: DataFrame, registry: DataFrame | None = None, rules: DataFrame | None = None) -> Topology:
     """From files (repo, file, content) of any number of repositories. Every step is a join or a filter of the table of facts."""
     routed = stored(files.routed(trees), "files")
-    found = stored(code.facts(routed.where("route = 'code' and not is_generated").select("repo", "file", "language", "content")), "facts")
+    raw_facts = stored(code.facts(routed.where("route = 'code' and not is_generated").select("repo", "file", "language", "content")), "raw-facts")
+    found = stored(code.propagated(raw_facts), "facts")
     manifests, yaml = routed.where("route = 'proto'"), routed.where("route = 'infra' and not file rlike '(^|/)Dockerfile'")
     routes, http, reads, grpc, rpcs = code.http_routes(found), code.http_calls(found), code.env_reads(found), code.grpc_sites(found), infra.protos(manifests)
 
@@ -121,17 +122,36 @@ def _used(df: DataFrame) -> DataFrame:
 def network_calls(spark: SparkSession, found: DataFrame, yaml: DataFrame, registry: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """Network calls of code, told by rules and traced to their sources in the file, and those that manifests' variables stand for."""
     calls = found.where("fact = 'call'").withColumn("id", F.xxhash64("repo", "file", "line", "receiver", "name"))
-    rows = calls.select("id", "repo", "file", "line", "receiver", F.col("name").alias("callee"), F.coalesce("value", F.lit("")).alias("first_arg"))
+    rows = calls.select("id", "repo", "file", "line", "receiver", F.col("name").alias("callee"), F.coalesce("value", F.lit("")).alias("first_arg"), "arg_name")
     imports = found.where("fact = 'import'").select("file", F.col("value").alias("path"), F.coalesce("name", paths.import_alias(F.col("value"), F.col("language"))).alias("alias"))
     told = sinks.told(rows, imports, registry if registry is not None else sinks.builtin(spark), rules if rules is not None else store.custom_rules(spark, ""))
+    told = stored(told, "told")
+    traced = traced_sources(told, code.assignments(found))
     literal = F.to_json(F.struct(F.struct(F.col("first_arg").alias("value")).alias("Literal")))
-    source = F.when(F.col("first_arg") != "", literal).otherwise('{"Dynamic":{"hint":""}}')
+    told = told.join(traced.select(F.col("id").alias("traced_id"), "traced"), F.col("id") == F.col("traced_id"), "left")
+    source = F.when(F.col("first_arg") != "", literal).otherwise(F.coalesce("traced", F.lit('{"Dynamic":{"hint":""}}')))
     fqn = F.concat_ws(".", "receiver", "callee")
     direct = told.select("file", "line", F.col("category").alias("net_kind"), fqn.alias("callee_fqn"), source.alias("address_source"), "confidence", "repo", F.col("id").alias("seq"))
     hidden = infra.network_variables(yaml).select("file", "line", "net_kind", "callee_fqn", "address_source", F.lit("heuristic").alias("confidence"), "repo", F.xxhash64("repo", "file", "line").alias("seq"))
     return C.first_wins(direct, hidden)
 
 
+def traced_sources(calls: DataFrame, assignments: DataFrame) -> DataFrame:
+    """id and traced, the JSON source of calls (id, repo, file, line, first_arg, arg_name) whose address is a name: where its value was last assigned in the file."""
+    place = F.concat_ws(":", "repo", "file")
+    uses = calls.where("first_arg = '' and arg_name is not null").select(F.col("id").alias("use"), place.alias("file"), F.col("line").alias("at"), F.col("arg_name").alias("name")).distinct()
+    ends = provenance.trace_back(uses, assignments.withColumn("file", place))
+    one = ends.groupBy("use").agg(F.max_by(F.struct("kind", "value"), F.struct("depth", "kind", "value")).alias("end")).select("use", "end.kind", "end.value")
+    literal = F.struct(F.struct(F.col("value").alias("value")).alias("Literal"))
+    variable = F.struct(F.struct(F.col("value").alias("var_name"), F.lit(None).cast("string").alias("k8s_value")).alias("EnvVar"))
+    owner, index = F.substring_index("value", ":", 1), F.substring_index("value", ":", -1).cast("int")
+    parameter = F.struct(F.struct(owner.alias("func"), index.alias("param_idx"), F.array().cast("array<string>").alias("caller_sources")).alias("Parameter"))
+    hint = F.struct(F.struct(F.concat_ws(":", "kind", "value").alias("hint")).alias("Dynamic"))
+    keep = {"ignoreNullFields": "false"}
+    source = F.when(F.col("kind") == "literal", F.to_json(literal)).when(F.col("kind") == "env", F.to_json(variable, keep)).when(F.col("kind") == "parameter", F.to_json(parameter)).otherwise(F.to_json(hint))
+    return one.where("kind <> 'unknown'").select(F.col("use").alias("id"), source.alias("traced"))
+
+
 def trace(topology: Topology, target: str, max_depth: int = 20) -> dict[str, DataFrame]:
     """upstream and downstream paths of the node that a target names, or of each of several a summary; provenance or suggestions for none."""
     nodes, edges = topology.nodes, topology.edges

@@ -1,7 +1,9 @@
 """Facts from source code: definitions, calls, imports, constants, routes and reads of the environment.
 
-Python is parsed by its own grammar; other languages by line patterns, which see what stands on one line. Each file is parsed by itself in
-Arrow batches, and every kind of fact is a filter of one table of facts.
+Python is parsed by its own grammar; other languages, and Python that this grammar rejects (a fact ``unparsed`` tells so), by line patterns,
+which see what stands on one line. Each file is parsed by itself in Arrow batches, and every kind of fact is a filter of one table of facts.
+
+An ``assign`` fact has the name assigned to, in receiver the kind of what is assigned (literal, env, variable, call, parameter) and its value.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions.classify import call_kind, grpc_service
 
-FACTS = "repo string, file string, language string, fact string, name string, receiver string, value string, arg2 string, line int, end_line int, owner string"
+FACTS = "repo string, file string, language string, fact string, name string, receiver string, value string, arg2 string, line int, end_line int, owner string, arg_name string"
 _COLUMNS = [f.split()[0] for f in FACTS.split(", ")]
 _VERBS = ("get", "post", "put", "delete", "patch", "head", "options")
 
@@ -24,12 +26,14 @@ _DEF = {
     "go": r"^func\s+(?:\(\s*\w*\s*\*?([\w.]+)(?:\[[^\]]*\])?\s*\)\s*)?(?P<name>\w+)\s*[\[(]",
     "typescript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>\w+)|^\s*(?:export\s+)?(?:const|let|var)\s+(?P<name2>\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>",
     "c": r"^(?!\s*(?:if|for|while|switch|return|else)\b)[\w*&:<>,\s]+?\b(?P<name>\w+)\s*\([^;]*\)\s*(?:const)?\s*\{",
+    "python": r"^\s*(?:async\s+)?def\s+(?P<name>\w+)",
     "java": r"^\s*(?:public|private|protected|static|final|abstract|synchronized|\s)+[\w<>\[\],.\s]+\s(?P<name>\w+)\s*\([^;]*\)\s*(?:throws [\w,.\s]+)?\{",
 }
 _DEF["cpp"] = _DEF["c"]
 _TYPE = {
     "go": r"^type\s+(?P<name>\w+)\s+(?:struct|interface)",
     "typescript": r"^\s*(?:export\s+)?(?:abstract\s+)?(?:class|interface|enum|type)\s+(?P<name>\w+)",
+    "python": r"^\s*class\s+(?P<name>\w+)",
     "c": r"^\s*(?:typedef\s+)?(?:struct|enum|union)\s+(?P<name>\w+)\s*\{?",
     "cpp": r"^\s*(?:class|struct|enum(?:\s+class)?)\s+(?P<name>\w+)[^;]*\{?$",
     "java": r"^\s*(?:public|private|protected|static|final|abstract|\s)*(?:class|interface|enum|record)\s+(?P<name>\w+)",
@@ -37,6 +41,7 @@ _TYPE = {
 _IMPORT = {
     "go": r"""^\s*(?:import\s+)?(?:(?P<alias>[\w.]+)\s+)?"(?P<path>[^"]+)"\s*$""",
     "typescript": r"""^\s*import\s+(?:(?P<alias>\w+)|[^'"]*?)\s*(?:,?\s*\{[^}]*\}\s*)?(?:from\s*)?['"](?P<path>[^'"]+)['"]|(?:const|let|var)\s+(?P<alias2>\w+)\s*=\s*require\(['"](?P<path2>[^'"]+)['"]\)""",
+    "python": r"^\s*from\s+(?P<path>[\w.]+)\s+import\s+(?P<alias>\w+)|^\s*import\s+(?P<path2>[\w.]+)(?:\s+as\s+(?P<alias2>\w+))?",
     "c": r"""^\s*#\s*include\s*[<"](?P<path>[^>"]+)[>"]""",
     "java": r"^\s*import\s+(?:static\s+)?(?P<path>[\w.*]+)\s*;",
 }
@@ -44,11 +49,17 @@ _IMPORT["cpp"] = _IMPORT["c"]
 _CONSTANT = r"""^\s*(?:export\s+)?(?:(?:public|private|static|final|const|constexpr|let|var|char|std::string|String|string|auto|\*)[\s*]+)+(?P<name>\w+)\s*(?:\[\])?\s*(?::\s*string\s*)?=\s*["'`](?P<value>[^"'`]*)["'`]|^\s*#\s*define\s+(?P<name2>\w+)\s+"(?P<value2>[^"]*)"|^\s*(?P<name3>\w+)\s*:=\s*["`](?P<value3>[^"`]*)["`]"""
 _CALL = re.compile(r"""(?P<recv>(?:[A-Za-z_]\w*(?:\(\))?(?:\.|->|::))*)(?P<name>[A-Za-z_]\w*)\s*\(""")
 _KEYWORDS = frozenset("if for while switch return catch func function else sizeof new typeof await defer go range select case".split())
+_ASSIGN = re.compile(r"^\s*(?:(?:export|const|let|var|final|static|auto|\w[\w<>\[\]]*(?:::\w[\w<>]*)*[*&]?)\s+)*[*&]?(?P<name>[\w.]+)(?:\s*,\s*\w+)*\s*(?::\s*[\w<>]+\s*)?(?::=|=)(?![=>])\s*(?P<value>.+?);?\s*$")
+_ENV = re.compile(r"""(?:\b(?:os\.(?:Getenv|LookupEnv|getenv|environ\.get)|System\.getenv|(?:std::)?getenv)\(|\bos\.environ\[)\s*["']([^"']+)["']|process\.env(?:\.(\w+)|\[['"](\w+)['"]\])""")
+_CALLED = re.compile(r"^(?:await\s+|new\s+)?([A-Za-z_][\w.]*(?:(?:::|->)\w+)*)\(")
+_FIRST_NAME = re.compile(r"""^\s*(?:(?:"[^"]*"|'[^']*'|[\w.]+\(\))\s*,\s*)*([A-Za-z_][\w.]*)\s*[,)]""")
+#: Rows of facts that are handed on at once.
+ROWS = 20_000
 _STRING = re.compile(r'''"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)'|`([^`]*)`''')
 
 
 def _row(fact: str, name: str, line: int, **more) -> dict:
-    return {"fact": fact, "name": name, "line": line, "end_line": more.pop("end", line), "receiver": None, "value": None, "arg2": None, "owner": None} | more
+    return {"fact": fact, "name": name, "line": line, "end_line": more.pop("end", line), "receiver": None, "value": None, "arg2": None, "owner": None, "arg_name": None} | more
 
 
 def _dotted(node: ast.AST) -> str | None:
@@ -70,12 +81,26 @@ def _text(node: ast.AST | None) -> str | None:
     return None
 
 
+def _assigned(node: ast.AST | None) -> tuple[str, str] | None:
+    """Kind and value of what an assignment's right side is, as far as it is told."""
+    if (text := _text(node)) is not None:
+        return "literal", text
+    if isinstance(node, ast.Subscript) and _dotted(node.value) == "os.environ" and (key := _text(node.slice)):
+        return "env", key
+    if isinstance(node, ast.Call):
+        called = _dotted(node.func)
+        if called in ("os.getenv", "os.environ.get", "getenv") and node.args and (key := _text(node.args[0])):
+            return "env", key
+        return ("call", called) if called else None
+    return ("variable", name) if node is not None and (name := _dotted(node)) else None
+
+
 def python_facts(content: str) -> list[dict]:
-    """Facts of a Python file; a file that is none has none."""
+    """Facts of a Python file; of one that the grammar rejects, those that its lines tell."""
     try:
         tree = ast.parse(content)
     except (SyntaxError, ValueError, RecursionError):
-        return []
+        return [_row("unparsed", "python", 1), *line_facts(content, "python")]
     out: list[dict] = []
 
     def visit(node: ast.AST, owner: str | None, in_class: bool) -> None:
@@ -89,6 +114,8 @@ def python_facts(content: str) -> list[dict]:
                     first = _text(d.args[0]) if isinstance(d, ast.Call) and d.args else None
                     out.append(_row("decorator", _dotted(call) or "?", d.lineno, end=child.lineno, value=first, owner=child.name))
                 inner, classy = child.name, False
+                arguments = [*child.args.posonlyargs, *child.args.args]
+                out.extend(_row("assign", a.arg, child.lineno, receiver="parameter", value=f"{child.name}:{k}", owner=child.name) for k, a in enumerate(arguments))
             elif isinstance(child, ast.ClassDef):
                 out.append(_row("type", child.name, child.lineno, end=child.end_lineno, owner=owner))
                 classy = True
@@ -98,6 +125,8 @@ def python_facts(content: str) -> list[dict]:
                 out.extend(_row("import", a.asname or a.name, child.lineno, value=f"{'.' * child.level}{child.module or ''}.{a.name}") for a in child.names)
             elif isinstance(child, ast.Assign | ast.AnnAssign):
                 targets = child.targets if isinstance(child, ast.Assign) else [child.target]
+                if made := _assigned(child.value):
+                    out.extend(_row("assign", name, child.lineno, receiver=made[0], value=made[1], owner=owner) for t in targets if (name := _dotted(t)))
                 if (value := _text(child.value)) is not None:
                     out.extend(_row("constant", t.id, child.lineno, value=value, owner=owner) for t in targets if isinstance(t, ast.Name))
             if child in skipped:
@@ -105,7 +134,8 @@ def python_facts(content: str) -> list[dict]:
             if isinstance(child, ast.Call) and (full := _dotted(child.func)):
                 receiver, _, name = full.rpartition(".")
                 strings = [t for t in map(_text, child.args) if t is not None][:2] + [None, None]
-                out.append(_row("call", name, child.lineno, receiver=receiver or None, value=strings[0], arg2=strings[1], owner=owner))
+                names = [n for a in child.args if not isinstance(a, ast.Call) and (n := _dotted(a))]
+                out.append(_row("call", name, child.lineno, receiver=receiver or None, value=strings[0], arg2=strings[1], owner=owner, arg_name=names[0] if names else None))
             if isinstance(child, ast.Subscript) and _dotted(child.value) == "os.environ" and (value := _text(child.slice)):
                 out.append(_row("env", value, child.lineno, owner=owner))
             for d in getattr(child, "decorator_list", []):
@@ -128,6 +158,17 @@ def _without_comments(line: str, inside: bool) -> tuple[str, bool]:
     return re.sub(r"""^([^"'`]*?)//.*$""", r"\1", line), False
 
 
+def _line_assigned(value: str) -> tuple[str, str] | None:
+    """Kind and value of the right side of an assignment on one line."""
+    if m := _ENV.search(value):
+        return "env", next(filter(None, m.groups()))
+    if (m := _STRING.match(value)) and m.end() == len(value):
+        return "literal", "".join(filter(None, m.groups()))
+    if re.fullmatch(r"[A-Za-z_][\w.]*", value):
+        return "variable", value
+    return ("call", m[1]) if (m := _CALLED.match(value)) else None
+
+
 def line_facts(content: str, language: str) -> list[dict]:
     """Facts of a file by patterns on its lines."""
     out: list[dict] = []
@@ -135,7 +176,7 @@ def line_facts(content: str, language: str) -> list[dict]:
     patterns = [(f, re.compile(p[language])) for f, p in (("function", _DEF), ("type", _TYPE), ("import", _IMPORT)) if language in p]
     constant = re.compile(_CONSTANT)
     for number, raw in enumerate(content.split("\n"), 1):
-        line, inside = _without_comments(raw.rstrip("\r"), inside)
+        line, inside = (re.sub(r"""^([^"'#]*)#.*$""", r"\1", raw.rstrip("\r")), False) if language == "python" else _without_comments(raw.rstrip("\r"), inside)
         if not line.strip():
             continue
         defined = None
@@ -156,15 +197,18 @@ def line_facts(content: str, language: str) -> list[dict]:
             which = m.groupdict()
             name, value = next((which[n], which[v]) for n, v in (("name", "value"), ("name2", "value2"), ("name3", "value3")) if which[n])
             out.append(_row("constant", name, number, value=value, owner=owner))
+        if (m := _ASSIGN.match(line)) and (made := _line_assigned(m["value"])):
+            out.append(_row("assign", m["name"], number, receiver=made[0], value=made[1], owner=owner))
         if m := re.search(r"process\.env(?:\.(\w+)|\[['\"](\w+)['\"]\])", line):
             out.append(_row("env", m[1] or m[2], number, owner=owner))
         for m in _CALL.finditer(line):
             if m["name"] in _KEYWORDS or (m["name"] == defined and not m["recv"]):
                 continue
             strings = ["".join(filter(None, s.groups())) for s in _STRING.finditer(line[m.end() :])][:2] + [None, None]
-            out.append(_row("call", m["name"], number, receiver=re.sub(r"(\.|->|::)$", "", m["recv"]) or None, value=strings[0], arg2=strings[1], owner=owner))
+            variable = _FIRST_NAME.match(line[m.end() :])
+            out.append(_row("call", m["name"], number, receiver=re.sub(r"(\.|->|::)$", "", m["recv"]) or None, value=strings[0], arg2=strings[1], owner=owner, arg_name=variable[1] if variable else None))
     starts = [r for r in out if r["fact"] == "function"]
-    for one, after in zip(starts, starts[1:] + [None], strict=True):  # a function reaches to the next one
+    for one, after in zip(starts, starts[1:] + [None], strict=False):  # a function reaches to the next one
         one["end_line"] = after["line"] - 1 if after else content.count("\n") + 1
     return out
 
@@ -173,16 +217,32 @@ def facts(files: DataFrame) -> DataFrame:
     """FACTS of files (repo, file, language, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[dict] = []
         for batch in batches:
-            rows = []
             for repo, file, language, content in batch.itertuples(index=False):
                 found = python_facts(content or "") if language == "python" else line_facts(content or "", language)
                 rows += [{"repo": repo, "file": file, "language": language} | r for r in found]
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+                if len(rows) >= ROWS:
+                    yield pd.DataFrame(rows, columns=_COLUMNS)
+                    rows = []
+        yield pd.DataFrame(rows, columns=_COLUMNS)
 
     return files.where("language is not null").select("repo", "file", "language", "content").mapInPandas(run, FACTS)
 
 
+def propagated(found: DataFrame) -> DataFrame:
+    """found, in which a call without a string has the value of the constant that it names: the last of the same function before it, else of the file."""
+    calls = found.where("fact = 'call' and value is null and arg_name is not null").select("repo", "file", "line", "owner", "arg_name").distinct()
+    constants = found.where("fact = 'constant'").select("repo", "file", F.col("name").alias("arg_name"), F.col("line").alias("at"), F.col("owner").alias("scope"), F.col("value").alias("constant"))
+    own = F.col("scope").eqNullSafe(F.col("owner"))
+    met = calls.join(constants, ["repo", "file", "arg_name"]).where((own & (F.col("at") <= F.col("line"))) | F.col("scope").isNull())
+    best = met.groupBy("repo", "file", "line", "owner", "arg_name").agg(F.max_by("constant", F.struct(own, "at")).alias("constant"))
+    best = best.select(*(F.col(c).alias(f"b_{c}") for c in ("repo", "file", "line", "owner", "arg_name")), "constant")
+    same = [F.col(c) == F.col(f"b_{c}") for c in ("repo", "file", "line", "arg_name")]
+    rows = found.join(best, [*same, F.col("owner").eqNullSafe(F.col("b_owner")), F.col("fact") == "call", F.col("value").isNull()], "left")
+    return rows.withColumn("value", F.coalesce("value", "constant")).select(*found.columns)
+
+
 # ---- what facts mean ------------------------------------------------------------------------------------------------------------
 
 
@@ -193,6 +253,23 @@ def env_reads(found: DataFrame) -> DataFrame:
     return found.withColumn("var_name", var).where("var_name is not null").select("repo", "var_name", "file", "line", "owner")
 
 
+def setting_reads(found: DataFrame) -> DataFrame:
+    """repo, file, line, owner, kind (env, config or flag) and key of calls that read a setting by its name."""
+    r, n = F.lower(F.coalesce("receiver", F.lit(""))), F.lower("name")
+    env = (r.isin("os", "system", "") & n.isin("getenv", "lookupenv")) | ((r == "os.environ") & (n == "get")) | (r == "process.env") | n.rlike("getenv|mustmapenv|env_or|^envvar$")
+    config = (F.contains(r, F.lit("viper")) & n.startswith("get")) | (r.rlike("config|settings") & n.isin("get", "getattr")) | n.isin("getconfig", "get_config", "read_config")
+    flag = (F.contains(r, F.lit("flag")) & n.isin("string", "int", "bool", "var")) | (F.contains(r, F.lit("parser")) & (n == "add_argument"))
+    kind = F.when(env, "env").when(config, "config").when(flag, "flag")
+    rows = found.where("fact = 'call' and value is not null").select("repo", "file", "line", "owner", kind.alias("kind"), F.col("value").alias("key"))
+    direct = found.where("fact = 'env'").select("repo", "file", "line", "owner", F.lit("env").alias("kind"), F.col("name").alias("key"))
+    return rows.where("kind is not null").unionByName(direct)
+
+
+def assignments(found: DataFrame) -> DataFrame:
+    """repo, file, at, name, kind and value of all assignments: what provenance.trace_back() follows."""
+    return found.where("fact = 'assign'").select("repo", "file", F.col("line").alias("at"), "name", F.col("receiver").alias("kind"), "value")
+
+
 def http_routes(found: DataFrame) -> DataFrame:
     """repo, path, method, framework, file, line, owner and site (the line of what a decorator stands on) of routes that are registered by calls or decorators with a path."""
     lower = F.lower("name")

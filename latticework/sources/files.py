@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyarrow import fs
@@ -17,50 +18,114 @@ LANGUAGES = {"go": "go", "ts": "typescript", "tsx": "typescript", "js": "typescr
 MANIFESTS = ("go.mod", "package.json", "requirements.txt", "pyproject.toml")
 
 
-def scan(spark: SparkSession, root: str, repo: str, ignore: list[str] | None = None) -> DataFrame:
-    """repo, file (below the root), length and content of all files, hidden ones too, but what the ignore patterns name.
+def scan(spark: SparkSession, root: str, repo: str, ignore: list[str] | None = None, read_ignores: bool = True) -> DataFrame:
+    """repo, file (below the root), length and content of all files, hidden ones too, but what is ignored.
 
-    Spark's reader passes hidden files and folders over; their paths, few as they are, are listed on the driver and read by tasks.
+    ignore: patterns for the root, beside those of the tree's own ignore files, each of which holds for its folder. Spark's reader passes
+    hidden files and folders over; tasks list them, one for each folder of the root.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     start = re.sub(r"^[a-z]+:/*", "", root).strip("/")
     file = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", ""), "^/*" + re.escape(start) + "/", "")
     rows = raw.select(F.lit(repo).alias("repo"), file.alias("file"), "length", "content").unionByName(_hidden(spark, root, repo))
     rows = rows.where(~F.col("file").rlike(r"(^|/)\.git/"))
-    for pattern in ignore or []:
-        rows = rows.where(~ignored(F.col("file"), pattern))
+    rules = [rule for pattern in ignore or [] if (rule := Ignore.parsed(pattern, ""))]
+    if read_ignores:
+        found = rows.where(F.col("file").rlike(r"(^|/)\.gitignore$")).select("file", F.col("content").cast("string").alias("text")).collect()  # a few short files
+        for f in sorted(found, key=lambda f: (f.file.count("/"), f.file)):
+            base = f.file.rpartition("/")[0]
+            rules += [rule for line in (f.text or "").splitlines() if (rule := Ignore.parsed(line, base))]
+    if rules:
+        rows = rows.where(~ignored(F.col("file"), rules))
     return rows.withColumn("content", F.col("content").cast("string"))
 
 
 def _hidden(spark: SparkSession, root: str, repo: str) -> DataFrame:
     fields = "repo string, file string, length bigint, content binary"
     system, base = fs.FileSystem.from_uri(root)
-    found = [f.path[len(base.rstrip("/")) + 1 :] for f in system.get_file_info(fs.FileSelector(base, recursive=True)) if f.is_file]
-    found = [f for f in found if re.search(r"(^|/)[._]", f) and not re.search(r"(^|/)\.git/", f)]
-    if not found:
+    at = len(base.rstrip("/")) + 1
+    tops = [(f.path[at:], f.is_file) for f in system.get_file_info(fs.FileSelector(base)) if f.path[at:] != ".git"]
+    tops = [(name, is_file) for name, is_file in tops if not is_file or name[0] in "._"]
+    if not tops:
         return spark.createDataFrame([], fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, folder = fs.FileSystem.from_uri(root)
+        folder = folder.rstrip("/")
+
+        def files(name: str, is_file: bool) -> Iterator[str]:
+            if is_file:
+                yield name
+                return
+            for f in store.get_file_info(fs.FileSelector(f"{folder}/{name}", recursive=True)):
+                below = f.path[len(folder) + 1 :]
+                if f.is_file and re.search(r"(^|/)[._]", below) and not re.search(r"(^|/)\.git/", below):
+                    yield below
+
         for batch in batches:
-            data = []
-            for name in batch["file"]:
-                with store.open_input_file(f"{folder.rstrip('/')}/{name}") as f:
-                    data.append(f.read())
-            yield pd.DataFrame({"repo": repo, "file": batch["file"], "length": [len(d) for d in data], "content": data})
-
-    return spark.createDataFrame([(f,) for f in found], "file string").repartition("file").mapInPandas(run, fields)
-
-
-def ignored(file: Column, pattern: str) -> Column:
-    """Whether a pattern of an ignore file names a file: ``*`` within a name, ``**`` across folders, a slash inside ties it to the root, one at the end means folders."""
-    p = pattern.strip()
-    if not p or p.startswith("#"):
-        return F.lit(False)
-    folder, rooted = p.endswith("/"), "/" in p.strip("/") or p.startswith("/")
-    parts = re.split(r"(\*\*/?|\*|\?)", p.strip("/"))
-    body = "".join({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(x, re.escape(x)) for x in parts)
-    return file.rlike(("^" if rooted else "(^|/)") + body + ("/" if folder else "(/|$)"))
+            for top, is_file in batch.itertuples(index=False):
+                for name in files(top, is_file):
+                    with store.open_input_file(f"{folder}/{name}") as f:
+                        data = f.read()
+                    yield pd.DataFrame({"repo": [repo], "file": [name], "length": [len(data)], "content": [data]})
+
+    return spark.createDataFrame(tops, "name string, is_file boolean").repartition("name").mapInPandas(run, fields)
+
+
+@dataclass(frozen=True)
+class Ignore:
+    """A line of an ignore file, as an expression that a path below the root must match whole."""
+
+    expression: str
+    negated: bool
+    folders_only: bool
+
+    @staticmethod
+    def parsed(line: str, base: str) -> Ignore | None:
+        """None for comments and empty lines. base: the folder of the file that holds the line."""
+        text = re.sub(r"(?<!\\)\s+$", "", line)
+        if not text or text.startswith("#"):
+            return None
+        negated = text.startswith("!")
+        text = text[negated:].removeprefix("\\") if text[negated : negated + 2] in ("\\#", "\\!") else text[negated:]
+        folders_only = text.endswith("/")
+        text = text.rstrip("/")
+        if not text:
+            return None
+        rooted = "/" in text
+        body = "".join(_spelled(part) for part in re.findall(r"/\*\*/|^\*\*/|/\*\*$|\*+|\?|\[!?\]?[^\]]*\]|\\.|[^*?\[\\/]+|.", text.lstrip("/"), re.S))
+        before = re.escape(base) + "/" if base else ""
+        return Ignore(f"^{before}{'' if rooted else '(?:.*/)?'}{body}$", negated, folders_only)
+
+
+def _spelled(part: str) -> str:
+    """A piece of a pattern as a regular expression."""
+    fixed = {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "?": "[^/]"}
+    if part in fixed:
+        return fixed[part]
+    if part.strip("*") == "":
+        return "[^/]*"
+    if part[0] == "[" and part[-1] == "]" and len(part) > 2:
+        negated = part[1] in "!^"
+        inside = part[1 + negated : -1].replace("\\", r"\\").replace("[", r"\[").replace("&&", r"\&\&").replace("^", r"\^").replace("]", r"\]")
+        return f"(?!/)[{'^' if negated else ''}{inside}]"
+    return re.escape(part[1:] if part[0] == "\\" and len(part) == 2 else part)
+
+
+def ignored(file: Column, rules: list[Ignore]) -> Column:
+    """Whether ignore rules name a file or a folder above it: of the rules that match a path the last counts, and nothing in an ignored folder comes back."""
+    parts = F.split(file, "/")
+    n = F.size(parts)
+
+    def verdict(k: Column) -> Column:
+        path = F.array_join(F.slice(parts, F.lit(1), k), "/")
+        out = None
+        for rule in reversed(rules):
+            matches = path.rlike(rule.expression) & (k < n) if rule.folders_only else path.rlike(rule.expression)
+            out = F.when(matches, F.lit(not rule.negated)) if out is None else out.when(matches, F.lit(not rule.negated))
+        return out.otherwise(F.lit(False))
+
+    return F.exists(F.sequence(F.lit(1), n), verdict)
 
 
 def language(file: Column) -> Column:

@@ -94,22 +94,26 @@ def services(files: DataFrame) -> DataFrame:
     rows = yaml_documents(files).where("kind = 'Service'").where(_bare(F.col("text")) != "")
     text, depth = F.col("text"), indent(F.col("text"))
     top = F.last(F.when(depth == 0, F.regexp_extract(text, r"^(\w+):", 1)), ignorenulls=True).over(_document().rowsBetween(Window.unboundedPreceding, 0))
-    second = F.last(F.when(depth <= 2, F.when(depth == 2, F.regexp_extract(text, r"^\s*(\w+):", 1)).otherwise("")), ignorenulls=True).over(_document().rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("top", top).withColumn("second", second)
+    rows = rows.withColumn("top", top).withColumn("inner", F.min(F.when(depth > 0, depth)).over(Window.partitionBy("repo", "file", "doc", "top")))
+    inner = F.col("inner")  # how far the keys of a block stand in, whatever the file's step is
+    second = F.last(F.when(depth <= inner, F.when(depth == inner, F.regexp_extract(text, r"^\s*(\w+):", 1)).otherwise("")), ignorenulls=True).over(_document().rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("second", second)
     pair = F.regexp_extract(text, r"^\s+([\w./-]+):\s*\S", 1)
-    entry = F.struct(pair.alias("key"), F.regexp_replace(F.regexp_extract(text, r":\s*(\S.*?)\s*$", 1), r"""^["']|["']$""", "").alias("value"))
-    selected = F.when((F.col("top") == "spec") & (F.col("second") == "selector") & (depth > 2) & (pair != ""), entry)
+    entry = F.struct("line", pair.alias("key"), F.regexp_replace(F.regexp_extract(text, r":\s*(\S.*?)\s*$", 1), r"""^["']|["']$""", "").alias("value"))
+    selected = F.when((F.col("top") == "spec") & (F.col("second") == "selector") & (depth > inner) & (pair != ""), entry)
     port = F.when(F.col("top") == "spec", paths.port_number(yaml_field(text, "port")))
-    meta = lambda f: F.when((F.col("top") == "metadata") & (depth == 2), yaml_field(text, f))
+    meta = lambda f: F.when((F.col("top") == "metadata") & (depth == inner), yaml_field(text, f))
     rows = rows.withColumns({"m_name": meta("name"), "m_space": meta("namespace"), "m_port": port, "m_sel": selected, "at": F.when((depth == 0) & yaml_field(text, "kind").isNotNull(), F.col("line"))})
     found = rows.groupBy("repo", "file", "doc").agg(
         F.first("m_name", ignorenulls=True).alias("name"),
         F.coalesce(F.first("m_space", ignorenulls=True), F.lit("default")).alias("namespace"),
         F.array_sort(F.collect_list(F.when(F.col("m_port").isNotNull(), F.struct("line", "m_port")))).alias("p"),
-        F.map_from_entries(F.collect_set("m_sel")).alias("selector"),
+        F.array_sort(F.collect_list("m_sel")).alias("s"),
         F.min("at").alias("line"),
     )
-    return found.where("name is not null").select("repo", "file", "line", "name", "namespace", F.transform("p", lambda x: x["m_port"]).alias("ports"), "selector")
+    last = F.expr("filter(s, (x, i) -> not exists(slice(s, i + 2, size(s)), y -> y.key = x.key))")  # of a key given twice the last counts
+    selector = F.map_from_entries(F.transform(last, lambda x: F.struct(x["key"], x["value"])))
+    return found.where("name is not null").select("repo", "file", "line", "name", "namespace", F.transform("p", lambda x: x["m_port"]).alias("ports"), selector.alias("selector"))
 
 
 def network_variables(files: DataFrame) -> DataFrame:

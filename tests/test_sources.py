@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticework import errors
+from latticework.plans import commands
 from latticework.sources import code, files, infra, lines, store
 from latticework.streaming import incremental
 
@@ -188,3 +189,53 @@ def test_network_files_are_arrays_or_lines_or_nothing(spark, tmp_path):
     remote = store.load_remote_networks(spark, f"file://{tmp_path}").collect()
     assert sorted(r.file for r in remote) == ["[lines] f4.go", "[lines] f5.go", "[pretty] f1.go", "[pretty] f2.go", "[short] f3.go"]
     assert store.load_remote_networks(spark, f"file://{tmp_path}/nowhere").count() == 0
+
+
+def test_ignore_files(spark, tmp_path):
+    names = ["a.log", "keep.log", "src/b.log", "src/x1.o", "src/x9.o", "src/xa.o", "build/out.txt", "build/keep.txt", "doc/build", "deep/a/b/c.tmp", "deep/c.tmp", "lit/#x", "lit/sp ace", "sub/only.txt", "sub/deeper/only.txt", "only.txt", ".env", "sub/.hid/x", "new/v1/gen.go", "new/gen.go", "abc", "abd"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / ".gitignore").write_text("# note\n*.log\n!keep.log\nx[0-8].o\nbuild/\n!build/keep.txt\ndeep/**/*.tmp\n\\#x\n/only.txt\n.env   \nnew/*/gen.go\nab[!c]\n\n")
+    (tmp_path / "sub" / ".gitignore").write_text("/only.txt\n.hid\n")
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git" / "config").write_text("x")
+    left = {r.file for r in files.scan(spark, f"file://{tmp_path}", "r").collect()}
+    gone = {"a.log", "src/b.log", "src/x1.o", "build/out.txt", "build/keep.txt", "deep/a/b/c.tmp", "deep/c.tmp", "lit/#x", "only.txt", ".env", "sub/only.txt", "sub/.hid/x", "new/v1/gen.go", "abd"}
+    assert left == {*names, ".gitignore", "sub/.gitignore"} - gone
+    assert {r.file for r in files.scan(spark, f"file://{tmp_path}", "r", read_ignores=False).collect()} >= set(names)
+
+
+def test_services_of_any_indent_and_with_repeated_keys(spark):
+    text = "kind: Service\nmetadata:\n    name: far\n    namespace: ns\n    labels:\n        name: other\nspec:\n    selector:\n        app: a\n        app: b\n        tier: t\n    ports:\n    - port: 80\n      name: http\n    - port: 443\n"
+    (s,) = infra.services(spark.createDataFrame([("r", "s.yaml", text)], "repo string, file string, content string")).collect()
+    assert (s["name"], s.namespace, s.ports, s.selector) == ("far", "ns", [80, 443], {"app": "b", "tier": "t"})
+
+
+FLOWS = {
+    "f.go": ("go", 'const BASE = "http://base/x"\nfunc f(url string) {\n  addr := os.Getenv("ADDR")\n  other := addr\n  http.Get(other)\n  http.Post(BASE, "t", nil)\n  resp, err := dial(q)\n  viper.GetString("db.host")\n  flag.String("port", "1")\n}\nfunc g() {\n  const BASE = "http://own/y"\n  http.Get(BASE)\n}\n'),
+    "g.py": ("python", 'import os\nimport requests\nURL = "http://lit/z"\ndef f(target):\n    a = os.environ["HOST"]\n    b = a\n    c = b\n    requests.get(c)\n    requests.post(target)\n    requests.put(URL)\n    requests.head(made())\n'),
+    "h.ts": ("typescript", 'const u = process.env.API_URL;\nlet v = u;\naxios.get(v);\n'),
+    "bad.py": ("python", 'def broken(:\n    x = os.getenv("OLD")  # (\n    requests.get(x)\n'),
+    "none.java": ("java", '// nothing here\nString q = System.getenv("Q");\n'),
+}
+
+
+def test_flows_within_files(spark):
+    rows = [("r", f, lang, text) for f, (lang, text) in FLOWS.items()] + [("r", "empty.go", "go", None)]
+    found = code.facts(spark.createDataFrame(rows, "repo string, file string, language string, content string")).cache()
+    made = {(r.file, r.at, r.name): (r.kind, r.value) for r in code.assignments(found).collect()}
+    assert made["f.go", 3, "addr"] == ("env", "ADDR") and made["f.go", 4, "other"] == ("variable", "addr") and made["f.go", 7, "resp"] == ("call", "dial")
+    assert made["g.py", 5, "a"] == ("env", "HOST") and made["g.py", 4, "target"] == ("parameter", "f:0") and made["h.ts", 1, "u"] == ("env", "API_URL")
+    assert made["none.java", 2, "q"] == ("env", "Q") and made["bad.py", 2, "x"] == ("env", "OLD")
+    assert [r.file for r in found.where("fact = 'unparsed'").collect()] == ["bad.py"]
+    with_constants = {(r.file, r.line): r.value for r in code.propagated(found).where("fact = 'call' and name in ('Get', 'Post', 'put')").collect()}
+    assert with_constants["f.go", 13] == "http://own/y" and with_constants["g.py", 10] == "http://lit/z" and with_constants["f.go", 5] is None
+    assert code.propagated(found).count() == found.count()
+    reads = {(r.file, r.kind, r.key) for r in code.setting_reads(found).collect()}
+    assert {("f.go", "env", "ADDR"), ("f.go", "config", "db.host"), ("f.go", "flag", "port"), ("g.py", "env", "HOST"), ("h.ts", "env", "API_URL")} <= reads
+    yaml = spark.createDataFrame([], "repo string, file string, content string")
+    calls = {(r.file, r.line): r.address_source for r in commands.network_calls(spark, code.propagated(found), yaml).collect()}
+    assert calls["f.go", 5] == '{"EnvVar":{"var_name":"ADDR","k8s_value":null}}' and calls["g.py", 8] == '{"EnvVar":{"var_name":"HOST","k8s_value":null}}'
+    assert calls["g.py", 9] == '{"Parameter":{"func":"f","param_idx":0,"caller_sources":[]}}' and calls["g.py", 10] == '{"Literal":{"value":"http://lit/z"}}'
+    assert calls["h.ts", 3] == '{"EnvVar":{"var_name":"API_URL","k8s_value":null}}' and calls["g.py", 11] == '{"Dynamic":{"hint":""}}' and calls["bad.py", 3] == '{"EnvVar":{"var_name":"OLD","k8s_value":null}}'
