@@ -129,3 +129,25 @@ def import_alias(path: Column, language: Column) -> Column:
     """
     go = F.substring_index(F.regexp_replace(path, r"/v[0-9]$", ""), "/", -1)
     return F.when(language == "go", go).when(language == "python", path).when(language == "java", F.substring_index(path, ".", -1)).when(language == "typescript", F.substring_index(path, "/", -1))
+
+
+# ---- repositories ---------------------------------------------------------------------------------------------------------------
+
+
+def repo_name(path: Column) -> Column:
+    """The last component of a repository's path, ``repo`` without one."""
+    return F.coalesce(F.nullif(F.substring_index(F.regexp_replace(path, "/+$", ""), "/", -1), F.lit("")), F.lit("repo"))
+
+
+def is_git_url(text: Column) -> Column:
+    return text.rlike(r"^(https?://|git@|ssh://)") | text.endswith(".git")
+
+
+def repo_name_of_url(url: Column) -> Column:
+    """What follows the last slash, without the ending."""
+    return F.substring_index(F.regexp_replace(url, r"(\.git)+$", ""), "/", -1)
+
+
+def graph_name(number: Column, path: Column) -> Column:
+    """The name of a repository's stored graph: its number in four digits and its name."""
+    return F.concat(F.lpad(number.cast("string"), 4, "0"), F.lit("-"), repo_name(path))

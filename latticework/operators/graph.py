@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticework.model import EdgeKind, NodeKind
+from latticework.model import EdgeKind, NodeKind, in_mask
 from latticework.storage import stored
 
 
@@ -141,3 +141,9 @@ def completeness(edges: DataFrame, dangling: DataFrame) -> DataFrame:
     both = edges.agg(F.count("*").alias("resolved")).crossJoin(F.broadcast(dangling.agg(F.count("*").alias("dangling"))))  # one row each
     total = F.col("resolved") + F.col("dangling")
     return both.withColumn("completeness", F.when(total == 0, 1.0).otherwise(F.col("resolved") / total))
+
+
+def gaps(nodes: DataFrame, edges: DataFrame, reached: DataFrame, mask: int) -> DataFrame:
+    """src, dst and kind of the mask's edges that lead from what has been reached (column node) to no known node."""
+    out = edges.where(in_mask(F.col("kind"), mask)).join(reached.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+    return out.join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst", "kind").distinct()

@@ -28,7 +28,7 @@ def _children(tree: object) -> list:
     if not isinstance(fields, dict):
         return []
     below = [fields[k] for k in ("source", "callee_return", "base", "default") if isinstance(fields.get(k), dict)]
-    for k in ("parts", "sources", "alternatives", "caller_sources"):
+    for k in ("parts", "sources", "alternatives", "caller_sources", "assignment_sources"):
         below += [x for x in fields.get(k) or [] if isinstance(x, dict)]
     return below
 
@@ -89,6 +89,55 @@ def formatted(trees: pd.Series) -> pd.Series:
     return trees.map(line)
 
 
+#: How much of a value and of a variable's known value is shown.
+SHOWN_VALUE, SHOWN_BOUND = 50, 40
+
+
+def _cut(text: object, most: int) -> str:
+    text = str(text)
+    return text if len(text) <= most else text[:most] + "..."
+
+
+def _shown(tree: object) -> str:
+    """A tree in the style of traces: calls with their fields, and in brackets behind an arrow what they come from."""
+    if not isinstance(tree, dict) or len(tree) != 1:
+        return "dynamic"
+    ((kind, fields),) = tree.items()
+    get = fields.get if isinstance(fields, dict) else lambda *_: None
+    below = ", ".join(map(_shown, _children(tree)))
+    if kind == "Concat":
+        return " + ".join(map(_shown, _children(tree)))
+    if kind == "Literal":
+        return f'"{_cut(get("value"), SHOWN_VALUE)}"'
+    if kind == "EnvVar":
+        bound = get("k8s_value")
+        return f"env({get('var_name')})" + (f' = "{_cut(bound, SHOWN_BOUND)}"' if bound is not None else "")
+    if kind in ("Parameter", "FieldAccess"):
+        own = f"{get('func')}.param[{get('param_idx', get('idx'))}]" if kind == "Parameter" else f"{get('type_name')}.{get('field')}"
+        return f"{own} <- [{below}]" if below else own
+    if kind == "ConfigKey":
+        return f"config({get('key')}{', ' + get('file') if get('file') else ''})"
+    if kind == "Flag":
+        default = get("default_value")
+        return f"flag({get('flag_name')}" + (f', default="{default}"' if default is not None else "") + ")"
+    if kind == "ServiceDiscovery":
+        return f"svc_discovery({get('service_name')}, {get('mechanism')})"
+    return f"dynamic({get('hint')})" if get("hint") else "dynamic"
+
+
+@F.pandas_udf(T.StringType())
+def traced(trees: pd.Series) -> pd.Series:
+    """Each tree as one line in the style of traces, long values cut; null for what is no JSON."""
+
+    def line(text):
+        try:
+            return _shown(json.loads(text))
+        except (TypeError, ValueError):
+            return None
+
+    return trees.map(line)
+
+
 def first_variable(flat: Column) -> Column:
     """The first environment variable of a flattened tree, null without one."""
     return F.get(F.transform(F.filter(flat, lambda n: n["kind"] == "EnvVar"), lambda n: F.substring_index(n["text"], " ", 1)), F.lit(0))

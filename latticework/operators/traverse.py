@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.model import ALL_EDGES, EdgeKind, NodeKind, in_mask, mask_of
-from latticework.operators.graph import ancestors
+from latticework.operators.graph import ancestors, nearest_ancestor
 from latticework.storage import small, stored
 
 DOWN, UP = "down", "up"
@@ -170,6 +170,34 @@ def impact(nodes: DataFrame, edges: DataFrame, seed: int, max_depth: int = 5) ->
     return depends(edges, seed, ALL_EDGES, max_depth, UP).join(nodes.select(F.col("id").alias("node"), "kind"), "node").groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def impact_classes(nodes: DataFrame, edges: DataFrame, seed: int, max_depth: int = 20, direction: str = DOWN) -> DataFrame:
+    """class, id and detail of what a change of a node can touch, from one walk.
+
+    symbol, endpoint and resource: what is reached, by kind. service: the deployables that hold a reached symbol, or are reached. config:
+    what configures such a service or what it holds, with the service as detail. skew: the services, where the seed is a surface that more
+    than one of them depends on, so that they can run different versions of it.
+    """
+    reached = stored(depends(edges, seed, ALL_EDGES, max_depth, direction), "impact")
+    known = reached.join(nodes.select(F.col("id").alias("node"), "kind"), "node")
+    names = {int(NodeKind.SYMBOL): "symbol", int(NodeKind.ENDPOINT): "endpoint", int(NodeKind.RESOURCE): "resource"}
+    labels = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    none = F.lit(None).cast("bigint").alias("detail")
+    direct = known.where(F.col("kind").isin(list(names))).select(F.element_at(labels, F.col("kind").cast("int")).alias("class"), F.col("node").alias("id"), none)
+    holders = stored(nearest_ancestor(nodes, [int(NodeKind.DEPLOYABLE)]), "holders")  # a deployable holds itself
+    touched = known.where(F.col("kind").isin(int(NodeKind.SYMBOL), int(NodeKind.DEPLOYABLE))).select(F.col("node").alias("id"))
+    services = stored(holders.join(touched, "id", "left_semi").select(F.col("ancestor").alias("service")).distinct(), "services")
+    parts = holders.join(services, holders["ancestor"] == services["service"], "left_semi").select(F.col("id").alias("dst"), F.col("ancestor").alias("service"))
+    configures = edges.where(F.col("kind") == int(EdgeKind.CONFIGURES))
+    into = configures.join(parts, "dst").select(F.col("src").alias("id"), F.col("service").alias("detail"))
+    out_of = configures.join(parts.withColumnRenamed("dst", "src"), "src").select(F.col("dst").alias("id"), F.col("service").alias("detail"))
+    config = into.union(out_of).distinct().select(F.lit("config").alias("class"), "id", "detail")
+    is_surface = not nodes.where((F.col("id") == seed) & (F.col("kind") == int(NodeKind.SURFACE))).isEmpty()
+    found = direct.unionByName(services.select(F.lit("service").alias("class"), F.col("service").alias("id"), none)).unionByName(config)
+    if is_surface and services.count() > 1:
+        found = found.unionByName(services.select(F.lit("skew").alias("class"), F.col("service").alias("id"), F.lit(seed).cast("bigint").alias("detail")))
+    return found
+
+
 def context(nodes: DataFrame, edges: DataFrame, node: int) -> DataFrame:
     """relation, kind and id around a node: itself, its ancestors, and its neighbours by edges in both directions."""
     up = {r.hops: r.ancestor for r in ancestors(nodes, 10, node).collect()}  # ten rows at most

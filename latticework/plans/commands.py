@@ -168,7 +168,7 @@ def trace(topology: Topology, target: str, max_depth: int = 20) -> dict[str, Dat
 def mentions(calls: DataFrame, target: str) -> DataFrame:
     """file, line, net_kind, callee_fqn and chain of calls whose source mentions the target."""
     rows = calls.withColumn("flat", provenance.flattened("address_source")).where(provenance.mentions(F.col("flat"), target))
-    return rows.select("file", "line", "net_kind", "callee_fqn", provenance.formatted("address_source").alias("chain"))
+    return rows.select("file", "line", "net_kind", "callee_fqn", provenance.traced("address_source").alias("chain"))
 
 
 def variable_summary(nodes: DataFrame, edges: DataFrame, calls: DataFrame, ids: DataFrame, most: int = 3) -> DataFrame:
@@ -240,6 +240,22 @@ def explain(topology: Topology, target: str) -> DataFrame:
 
 
 def save(topology: Topology, path: str) -> None:
-    """The graph and the calls; a baseline to compare with is one saved earlier."""
+    """The graph, the calls and what other repositories can meet; a baseline to compare with is one saved earlier, under a branch's name for example."""
     store.write_graph(topology.nodes, topology.edges, path)
     store.write_network(topology.calls, f"{path}/network")
+    repos = topology.nodes.select("repo").distinct().withColumn("repo_id", F.col("repo"))
+    store.write_index(store.index_facts(topology.nodes, repos.select("repo_id", F.col("repo").cast("string").alias("repo_name"))), f"{path}/index")
+
+
+def load(spark: SparkSession, path: str) -> Topology:
+    """What save() kept, without the matches: a snapshot to compare with or to ask."""
+    nodes, edges = store.load_graph(spark, path)
+    none = spark.createDataFrame([], "client_repo string, client_file string, client_line int, server_repo string, server_file string, server_line int, confidence double, type string")
+    return Topology(nodes, edges, store.load_network(spark, f"{path}/network"), none)
+
+
+def pull(spark: SparkSession, sources: dict[str, str], folder: str) -> DataFrame:
+    """Takes the calls of remotes (name: path of a saved network) into the folder, and returns the calls of all remotes there."""
+    for name, path in sorted(sources.items()):
+        store.add_remote(spark, store.load_network(spark, path), name, folder)
+    return store.load_remote_networks(spark, folder)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tomllib
 import warnings
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,8 @@ from latticework import model
 from latticework.errors import ConfigError, CorruptGraph, NoIndex, VersionMismatch
 
 VERSION = 2
+#: Facts that other repositories can meet, as index_facts() gives them.
+INDEX = "map_name string, key string, repo_id string, repo_name string, file string, line int, symbol string"
 CATEGORIES = ("http_client", "http_server", "grpc_client", "grpc_server", "websocket_client", "websocket_server", "kafka_producer", "kafka_consumer", "database", "redis", "sqs", "s3", "tcp_dial", "tcp_listen", "unknown")
 
 
@@ -71,13 +74,13 @@ def _read_calls(spark: SparkSession, path: str, **options: str) -> DataFrame:
     if arrays:
         whole = spark.read.text(arrays, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"\A\x{FEFF}", "").alias("value"))
         calls = calls.union(whole.select("path", F.explode(F.from_json("value", f"array<struct<{one}>>")).alias("call")))
-    remote = F.regexp_extract("path", r"([^/]+)\.network\.json", 1).alias("remote")
+    remote = F.regexp_extract("path", r"([^/]+)\.network\.json(?:/[^/]+)?$", 1).alias("remote")
     return calls.where("call.file is not null and call.line is not null").select("call.*", remote)
 
 
 def load_remote_networks(spark: SparkSession, folder: str) -> DataFrame:
     """Calls of ``NAME.network.json`` files, their file marked ``[NAME]``; of calls at one place the first counts."""
-    rows = _read_calls(spark, folder, pathGlobFilter="*.network.json", recursiveFileLookup="true")
+    rows = _read_calls(spark, folder, recursiveFileLookup="true").where("remote <> ''")
     first = Window.partitionBy("file", "line").orderBy("remote", "seq")
     rows = rows.withColumn("place", F.row_number().over(first)).where("place = 1")
     return rows.withColumn("file", F.concat(F.lit("["), "remote", F.lit("] "), "file")).select(*(f.split()[0] for f in model.NETWORK_CALLS.split(", ")))
@@ -117,5 +120,29 @@ def index_facts(nodes: DataFrame, repo_names: DataFrame) -> DataFrame:
     return named.select("map_name", F.col("name").alias("key"), "repo_id", "repo_name", "file", "line", F.col("name").alias("symbol"))
 
 
-def without_repo(index: DataFrame, repo_id: int) -> DataFrame:
-    return index.where(F.col("repo_id") != repo_id)
+def without_repo(rows: DataFrame, repo_id: int) -> DataFrame:
+    """Rows of an index, or of an overlay, without those that have an end in a repository."""
+    ends = [c for c in ("repo_id", "source_repo_id", "target_repo_id") if c in rows.columns]
+    return rows.where(reduce(lambda a, b: a & b, [F.col(c) != repo_id for c in ends]))
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """The facts of an index, or the edges of an overlay, as JSON lines by repository."""
+    index.write.mode("overwrite").json(path)
+
+
+def load_index(spark: SparkSession, path: str, schema: str = INDEX) -> DataFrame:
+    """What write_index() wrote; empty where there is none."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException:  # there is no such path
+        return spark.createDataFrame([], schema)
+
+
+def add_remote(spark: SparkSession, calls: DataFrame, name: str, folder: str) -> str:
+    """Keeps a remote's calls among the networks of the folder, in place of what it had there before; the path."""
+    if "/" in name or not name:
+        raise ConfigError(f"{name!r} is no name of a remote")
+    path = f"{folder}/{name}.network.json"
+    write_network(calls, path)
+    return path
