@@ -196,6 +196,17 @@ def caller_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.callers(bridge.edges(spark, sf_dir), CUSTOMER + 50)
 
 
+@query(
+    _reach_sql([CUSTOMER + 2], CODE_EDGES, 2)
+    + """, reached as (select node, kind from r join n on n.id = r.node where node <> 3000000002)
+    select 'symbol' as class, count(*) as n from reached where kind = 3
+    union all select 'service', count(distinct parent) from reached join n on n.id = reached.node where reached.kind = 3"""
+)
+def impact_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = bridge.edges(spark, sf_dir).where("kind in (1, 2)")
+    return traverse.impact_classes(bridge.nodes(spark, sf_dir), edges, CUSTOMER + 2, 2).groupBy("class").agg(F.count("*").alias("n"))
+
+
 @query(_reach_sql([7_000_000_003], ALL_EDGES, 2, "up") + " select kind, count(*) as n from r join n on n.id = r.node where node <> 7000000003 group by kind")
 def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.impact(bridge.nodes(spark, sf_dir), bridge.edges(spark, sf_dir), 7_000_000_003, 2)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.operators import sinks
-from latticework.plans import bridge
+from latticework.plans import bridge, commands
 from latticework.plans.registry import query
 from latticework.sources import code, files, infra, store
-from latticework.storage import new_dir
+from latticework.storage import new_dir, stored
 from latticework.streaming import incremental
 
 
@@ -107,6 +107,43 @@ def sink_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.told(calls, imports, sinks.builtin(spark), rules).where("how = 'registry'").select("file", "callee", "category", "direction", "how")
 
 
+def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each supplier a file of Go, TypeScript, Java, C++ and Python, in each of which a variable goes from where it is set to a call."""
+    s = bridge.table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    name = lambda text: F.concat(F.lit(text), key)
+    go = _files(s, "concat('src/m', s_suppkey, '.go')", "package m", 'import "net/http"', "func call() {", F.concat(name('  addr := os.Getenv("GO_'), F.lit('")')), "  other := addr", "  http.Get(other)", "}")
+    ts = _files(s, "concat('src/m', s_suppkey, '.ts')", "import axios from 'axios';", F.concat(name("const base = process.env.TS_"), F.lit(";")), "export async function call() {", "  axios.get(base);", "}")
+    java = _files(s, "concat('src/M', s_suppkey, '.java')", "import java.sql.DriverManager;", "class M {", "  public void call() {", F.concat(name('    String url = System.getenv("JAVA_'), F.lit('");')), "    DriverManager.getConnection(url);", "  }", "}")
+    cpp = _files(s, "concat('src/m', s_suppkey, '.cpp')", "#include <hiredis.h>", "void call() {", F.concat(name('  const char* host = "cpp'), F.lit('";')), "  redisConnect(host, 6379);", "}")
+    py = _files(s, "concat('src/m', s_suppkey, '.py')", "import os, requests", "def call(extra):", F.concat(name('    a = os.environ["PY_'), F.lit('"]')), "    b = a", "    c = b", "    requests.get(c)", "    requests.post(extra)")
+    every = go.unionByName(ts).unionByName(java).unionByName(cpp).unionByName(py)
+    return every.withColumn("language", files.language(F.col("file")))
+
+
+@query("select concat('src/', p.prefix, s_suppkey, p.suffix) as file, p.line, p.kind, p.before || case when p.keyed then cast(s_suppkey as varchar) else '' end as value from supplier cross join (values ('m', '.go', 6, 'EnvVar', 'GO_', true), ('m', '.ts', 4, 'EnvVar', 'TS_', true), ('M', '.java', 5, 'EnvVar', 'JAVA_', true), ('m', '.cpp', 4, 'Literal', 'cpp', true), ('m', '.py', 6, 'EnvVar', 'PY_', true), ('m', '.py', 7, 'Parameter', 'call:0', false)) p(prefix, suffix, line, kind, before, keyed)")
+def code_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = code.propagated(stored(code.facts(_flows(spark, sf_dir)), "flows"))
+    calls = commands.network_calls(spark, found, spark.createDataFrame([], "repo string, file string, content string"))
+    source = lambda path: F.get_json_object("address_source", f"$.{path}")
+    value = F.coalesce(source("EnvVar.var_name"), source("Literal.value"), F.concat_ws(":", source("Parameter.func"), source("Parameter.param_idx")))
+    told = calls.where("not lower(callee_fqn) like '%env%'")
+    return told.select("file", F.col("line").cast("int").alias("line"), F.regexp_extract("address_source", r'^\{"(\w+)"', 1).alias("kind"), value.alias("value"))
+
+
+@query(f"select file, line, net_kind, callee_fqn, address_source, confidence, repo, seq from ({bridge.oracle(bridge.CALLS)}) c where net_kind <> 'unknown'")
+def network_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_dir(spark, "network")
+    store.write_network(bridge.calls(spark, sf_dir), path)
+    return store.load_network(spark, path)
+
+
+@query("select 'all' as library, cast(375 as bigint) as n union all select 'routes', 75")
+def registry_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = sinks.builtin(spark).select(F.lit("all").alias("library")).unionAll(sinks.builtin_routes(spark).select(F.lit("routes").alias("library")))
+    return both.groupBy("library").agg(F.count("*").alias("n"))
+
+
 @query(f"select kind, count(*) as n from ({bridge.oracle(bridge.EDGES)}) e group by kind")
 def graph_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "graph")
