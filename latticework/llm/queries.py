@@ -33,6 +33,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def decontamination_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact and proximity matches behind op4, one row each."""
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -61,4 +66,4 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_secrets, op2_licenses, op3_token_counts, op4_decontamination, op5_mixing, op6_warc, op7_token_files, op8_quality, op9_sharding, op10_ngram_join)
-    return {f.__name__: f for f in ops}
+    return {f.__name__: f for f in (*ops, decontamination_phrases)}
