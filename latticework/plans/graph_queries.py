@@ -61,7 +61,13 @@ def path_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.groupBy("depth").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""{WITH}, back(node, d) as (select cast({CUSTOMER + 77} as bigint), 0 union select e.src, d + 1 from back join e on e.dst = back.node where kind in (1, 2) and d < 10),
+    dist as materialized (select node, min(d) as d from back group by node),
+    nx as materialized (select e.src as node, min(struct_pack(k := e.kind, n := e.dst)) as step from e join dist a on a.node = e.src join dist b on b.node = e.dst and b.d = a.d - 1 where kind in (1, 2) group by e.src),
+    p(hop, node) as (select 0, node from dist where node = {CUSTOMER} union all select hop + 1, nx.step.n from p join nx on nx.node = p.node where p.node <> {CUSTOMER + 77})
+    select hop, p.node, case when p.node <> {CUSTOMER + 77} then nx.step.k end as kind_to_next from p left join nx on nx.node = p.node"""
+)
 def path_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.find_path(bridge.edges(spark, sf_dir), CUSTOMER, CUSTOMER + 77, CODE_EDGES, 10)
 

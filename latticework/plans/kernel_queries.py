@@ -191,7 +191,7 @@ def provenance_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("seq", "n.depth", "n.kind", "n.text")
 
 
-@query()
+@query(f"with c as ({CALLS}) select seq, case when starts_with(address_source, '{{\"EnvVar\"') then 'EnvVar(' || regexp_extract(address_source, '\"var_name\":\"([^\"]*)\"', 1) || ')' when starts_with(address_source, '{{\"Literal\"') then 'Literal(http://a)' else 'Dynamic' end as chain from c")
 def provenance_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.calls(spark, sf_dir).select("seq", provenance.formatted("address_source").alias("chain"))
 
