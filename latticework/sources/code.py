@@ -48,7 +48,7 @@ _IMPORT = {
 _IMPORT["cpp"] = _IMPORT["c"]
 _CONSTANT = r"""^\s*(?:export\s+)?(?:(?:public|private|static|final|const|constexpr|let|var|char|std::string|String|string|auto|\*)[\s*]+)+(?P<name>\w+)\s*(?:\[\])?\s*(?::\s*string\s*)?=\s*["'`](?P<value>[^"'`]*)["'`]|^\s*#\s*define\s+(?P<name2>\w+)\s+"(?P<value2>[^"]*)"|^\s*(?P<name3>\w+)\s*:=\s*["`](?P<value3>[^"`]*)["`]"""
 _CALL = re.compile(r"""(?P<recv>(?:[A-Za-z_]\w*(?:\(\))?(?:\.|->|::))*)(?P<name>[A-Za-z_]\w*)\s*\(""")
-_KEYWORDS = frozenset("if for while switch return catch func function else sizeof new typeof await defer go range select case".split())
+_KEYWORDS = frozenset("if for while switch return catch func function else sizeof new typeof await defer go range select case def class elif with lambda and or not in assert del yield raise".split())
 _ASSIGN = re.compile(r"^\s*(?:(?:export|const|let|var|final|static|auto|\w[\w<>\[\]]*(?:::\w[\w<>]*)*[*&]?)\s+)*[*&]?(?P<name>[\w.]+)(?:\s*,\s*\w+)*\s*(?::\s*[\w<>]+\s*)?(?::=|=)(?![=>])\s*(?P<value>.+?);?\s*$")
 _ENV = re.compile(r"""(?:\b(?:os\.(?:Getenv|LookupEnv|getenv|environ\.get)|System\.getenv|(?:std::)?getenv)\(|\bos\.environ\[)\s*["']([^"']+)["']|process\.env(?:\.(\w+)|\[['"](\w+)['"]\])""")
 _CALLED = re.compile(r"^(?:await\s+|new\s+)?([A-Za-z_][\w.]*(?:(?:::|->)\w+)*)\(")
