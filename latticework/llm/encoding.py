@@ -109,8 +109,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         config = json.loads(self.tokenizer.to_str())
         self.by_units = cuts_like_byte_level(config)
-        added = [re.escape(t["content"]) for t in config["added_tokens"]]
-        self.added = "|".join(added) or None
+        self.added = [t["content"] for t in config["added_tokens"]]
         self.pieces = Tokenizer(self.tokenizer.model)
         self.line_break = int(self._ids("\n")[0]) if self.by_units else -1
         self.known = pa.array([], pa.string())
@@ -186,9 +185,10 @@ class Encoder:
         """Places of the texts that the library must see whole."""
         if not self.by_units:
             return list(range(len(texts)))
-        if self.added is None:
-            return []
-        return np.flatnonzero(pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)).tolist()
+        holds = np.zeros(len(texts), bool)
+        for content in self.added:
+            holds |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(holds).tolist()
 
     def _encoded(self, texts: pa.Array, places: list[int]) -> Iterator[tuple[int, np.ndarray]]:
         """The place and the ids of each of these texts, encoded whole."""
