@@ -1,13 +1,14 @@
 """Quality rules: simple counts, and the log-likelihood ratio of hashed n-grams between trusted text and the raw corpus.
 
 Words are what ASCII white space parts. Each word and each pair of neighbours falls into one of BUCKETS buckets. The corpus counts go over
-all documents. The trusted text is that of labelled good documents (TRUSTED_ROWS of them at most, those of the smallest hashes, so that the
-set is small enough to broadcast), dealt by hash into two halves. The first half gives the trusted counts; a bucket's ratio is
-``log((trusted + PRIOR) / (expected + PRIOR))``, expected being what the corpus's share of the bucket gives among as many n-grams. So a
+all documents. The trusted text is that of all labelled good documents, dealt by hash into two halves. The first half gives the trusted
+counts; a bucket's ratio is ``log((trusted + PRIOR) / (expected + PRIOR))``, expected being what the corpus's share of the bucket gives among as many n-grams. So a
 bucket that trusted text should have had and lacks weighs the more the surer that is, and a rare one weighs nothing, at any size of input.
 
 A document's score is the mean ratio of its n-grams. The second half, which the counts have not seen, sets the bound: the score that all
-but LOST of its documents reach (those that fail the simple counts aside). The same bound holds for every document.
+but LOST of its documents reach (those that fail the simple counts aside), found exactly. The same bound holds for every document.
+
+Trusted ids that are few enough are broadcast. Of more, the texts that they name are joined once by shuffle and stored.
 
 Defined cases: a null text has no words (it fails on length); texts are counted whole; repeated rows are judged and counted each on its
 own; labels that contradict each other or are null trust nothing; without a second half of trusted text there is no bound, so the simple
@@ -28,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latticework.llm.common import give_back, lowest, stored
+from latticework.llm.common import BROADCAST_ROWS, give_back, lowest, small, stored
 
 BUCKETS = 1 << 16
-TRUSTED_ROWS = 20_000
 PRIOR = 10.0
 LOST = 0.01
 #: N-grams that a task counts at once.
 COUNTED = 1 << 21
+#: Cells into which the scores' range is divided at once, and the scores that the driver sorts at most.
+CELLS = 4096
 
 #: Words in a window whose repetition counts, fewest words, and the highest percentage of repeated words.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -136,12 +138,22 @@ def log_ratio(raw: np.ndarray, trusted: np.ndarray) -> np.ndarray:
     return np.log((trusted + PRIOR) / (expected + PRIOR))
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED_ROWS) -> DataFrame:
-    """trusted_id and held (whether it is of the half that sets the bound) of documents that all labels call good and none toxic: at most so
-    many, of the smallest hashes."""
+def trusted_ids(labels: DataFrame, limit: int | None = None) -> DataFrame:
+    """trusted_id and held (whether it is of the half that sets the bound) of all documents that all their labels call good and none toxic;
+    with a limit, which fit() does not set, of so many of the smallest hashes."""
     one = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
     good = one.where("doc_id is not null and q = 1 and t = 0").select("doc_id", F.xxhash64("doc_id").alias("h"))
-    return lowest(good, "h", limit).select(F.col("doc_id").alias("trusted_id"), (F.xxhash64("doc_id", F.lit(1)) % 2 == 0).alias("held"))
+    if limit is not None:
+        good = lowest(good, "h", limit)
+    return good.select(F.col("doc_id").alias("trusted_id"), (F.xxhash64("doc_id", F.lit(1)) % 2 == 0).alias("held"))
+
+
+def trusted_texts(docs: DataFrame, trusted: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, text and held of the rows whose ids are trusted; trusted: a stored table, broadcast up to so many rows."""
+    n = trusted.count()
+    ids = small(trusted, n, most) if n <= most else trusted.hint("shuffle_hash")  # no task sorts texts
+    found = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id")).select("doc_id", "text", "held")
+    return found if n <= most else stored(found, "quality-texts")
 
 
 def _texts(batch: pa.RecordBatch, k: int) -> Iterator[tuple[bytes, list[bytes], np.ndarray]]:
@@ -150,48 +162,77 @@ def _texts(batch: pa.RecordBatch, k: int) -> Iterator[tuple[bytes, list[bytes],
         yield text, (words := text.split()), _numbered(words)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Counts n-grams of all documents and of the trusted ones, and takes the bound. What reaches the driver is one row for each bucket."""
+def ngram_counts(docs: DataFrame) -> np.ndarray:
+    """N-grams of all texts in each bucket. What reaches the driver is one row for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good, parts, waiting = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), ([], []), 0
+        total, part, waiting = np.zeros(BUCKETS, np.int64), [], 0
 
         def add() -> None:
-            for total, part in ((raw, parts[0]), (raw, parts[1]), (good, parts[1])):
-                if part:
-                    total += np.bincount(np.concatenate(part), minlength=BUCKETS)
-            parts[0].clear()
-            parts[1].clear()
+            nonlocal total
+            if part:
+                total += np.bincount(np.concatenate(part), minlength=BUCKETS)
+            part.clear()
 
         for batch in batches:
-            for (_, _, numbers), is_good in zip(_texts(batch, 0), batch.column(1).to_pylist(), strict=True):
-                parts[is_good].append(found := ngram_buckets(numbers))
+            for _, _, numbers in _texts(batch, 0):
+                part.append(found := ngram_buckets(numbers))
                 waiting += len(found)
                 if waiting > COUNTED:
                     add()
                     waiting = 0
         add()
         _forget()
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(good[at])], names=["bucket", "raw", "good"])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
-    trusted = stored(trusted_ids(labels), "quality-trusted")
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted), F.col("doc_id") == F.col("trusted_id"), "left")  # TRUSTED_ROWS at most
-    rows = marked.select("text", (F.col("trusted_id").isNotNull() & ~F.col("held")).alias("good")).mapInArrow(run, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw"), F.sum("good")).collect()
-    raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for bucket, a, b in rows:
-        raw[bucket], good[bucket] = a, b
-    return bounded(docs, trusted, log_ratio(raw, good))
+    out = np.zeros(BUCKETS)
+    for bucket, n in docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
+        out[bucket] = n
+    return out
 
 
-def bounded(docs: DataFrame, trusted: DataFrame, ratios: np.ndarray) -> Model:
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Counts n-grams of all documents and of the trusted ones of the first half, and takes the bound from all of the second."""
+    texts = trusted_texts(docs, stored(trusted_ids(labels), "quality-trusted"))
+    return bounded(texts.where("held"), log_ratio(ngram_counts(docs), ngram_counts(texts.where("not held"))))
+
+
+def bounded(held: DataFrame, ratios: np.ndarray) -> Model:
     """The model with the bound that all but LOST of the held documents reach."""
-    held = docs.select("doc_id", "text").join(F.broadcast(trusted.where("held")), F.col("doc_id") == F.col("trusted_id"), "left_semi")
-    scores = assess(held, Model(ratios)).where("not base_failed").select("doc_id", "score").distinct()
-    bound = scores.agg(F.percentile("score", F.lit(LOST))).first()[0]  # a number for each distinct text of the held ids
+    scores = assess(held, Model(ratios)).where("not base_failed").select("doc_id", "score").distinct()  # one for each distinct text of an id
+    bound = percentile(stored(scores.select("score"), "quality-scores"), LOST)
     return Model(ratios, -math.inf if bound is None else bound)
 
 
+def percentile(scores: DataFrame, share: float) -> float | None:
+    """The exact percentile of score, between two ranks in proportion; None without scores."""
+    n = scores.count()
+    if not n:
+        return None
+    at = share * (n - 1)
+    below, above = math.floor(at), math.ceil(at)
+    low, high = ranked(scores, below), ranked(scores, above)
+    return low if low == high else (above - at) * low + (at - below) * high
+
+
+def ranked(scores: DataFrame, k: int) -> float:
+    """The score with k others before it. The range that holds it is divided into CELLS again and again: the driver gets CELLS rows at a
+    time, and tasks that many from each partition at most."""
+    n, low, high = scores.agg(F.count("*"), F.min("score"), F.max("score")).first()
+    while low < high:
+        part = scores.where(F.col("score").between(low, high))
+        if n <= CELLS:
+            return sorted(r.score for r in part.collect())[k]
+        cell = F.floor((F.col("score") - low) / (high - low) * (CELLS - 1))
+        cells = part.groupBy(cell.alias("cell")).agg(F.count("*"), F.min("score"), F.max("score")).collect()
+        for _, n, low, high in sorted(cells):
+            if k < n:
+                break
+            k -= n
+    return low
+
+
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
 _NAMES = [x.split()[0] for x in MEASURES.split(", ")]
 

@@ -104,3 +104,38 @@ def test_trusted_rows_are_bounded_and_the_lowest(spark):
     got = {r.trusted_id for r in Q.trusted_ids(labels, 50).collect()}
     want = {r.doc_id for r in labels.selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h").limit(50).collect()}
     assert got == want
+
+
+def test_all_trusted_documents_count(spark):
+    n = 21_000
+    rows = [(i, " ".join(f"w{(i * i + 7 * k * k) % 997}" for k in range(22))) for i in range(n)] + [(n + i, " ".join(f"Z{(i + k) % 50}" for k in range(30))) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    sides = {r.trusted_id: r.held for r in Q.trusted_ids(labels).collect()}
+    assert len(sides) == n
+    model = Q.fit(docs, labels)
+    want, bound = plain_verdicts(rows, {i for i, held in sides.items() if not held}, {i for i, held in sides.items() if held})
+    assert math.isclose(model.bound, bound, abs_tol=1e-9)
+    assert {r.doc_id: r.kept for r in Q.assess(docs, model).collect()} == {i: k for (i, _), k in zip(rows, want, strict=True)}
+
+
+def test_trusted_texts_by_shuffle(spark):
+    rows = [(i % 40, f"text {i}") for i in range(200)] + [(None, "none"), (None, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    trusted = spark.createDataFrame([(i, i % 3 == 0) for i in range(0, 60, 2)] + [(3, True)], "trusted_id long, held boolean")
+    want = Counter((i, text, i % 3 == 0) for i, text in rows if i is not None and (i % 2 == 0 or i == 3))
+    for most in (0, 1000):
+        assert Counter(tuple(r) for r in Q.trusted_texts(docs, trusted, most).collect()) == want
+
+
+def test_percentile_is_exact(spark):
+    for scores in ([], [0.5], [0.0, -0.0, 1.0], [0.1] * 9000 + [0.1 + 2**-56, -3.0], [math.sin(i) ** 9 for i in range(30_000)], [2.0 ** -(i % 1000) for i in range(9000)]):
+        df = spark.createDataFrame([(x,) for x in scores], "score double")
+        for share in (0.0, Q.LOST, 0.37, 1.0):
+            got, at = Q.percentile(df, share), share * (len(scores) - 1)
+            if not scores:
+                assert got is None
+                continue
+            s = sorted(scores)
+            low, high = s[math.floor(at)], s[math.ceil(at)]
+            assert math.isclose(got, low + (at % 1) * (high - low), rel_tol=1e-12, abs_tol=1e-15)
